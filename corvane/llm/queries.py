@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .chat_format import chat_query
 from .common import table
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .line_dedup import line_query
 from .mixing import mix_query
+from .ngram_join import ngram_jaccard_join
 from .packing import pack_query
 from .secret_scan import secret_query
 from .sharding import shard_query
@@ -15,9 +18,12 @@ from .toxicity import toxicity_query
 def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_itq_embedding_dedup": lambda s, d: near_duplicates(table(s, d, "embeddings")),
         "op2_counterfactual_toxicity": lambda s, d: toxicity_query(docs(s, d), table(s, d, "labels")),
         "op3_patricia_exact_dedup": lambda s, d: exact_dedup(docs(s, d)),
         "op4_mincost_flow_mixing": lambda s, d: mix_query(docs(s, d)),
+        "op5_minhash_line_dedup": lambda s, d: line_query(docs(s, d)),
+        "op6_parity_sketch_join": lambda s, d: ngram_jaccard_join(docs(s, d)),
         "op7_grammar_chat_format": lambda s, d: chat_query(table(s, d, "conversations")),
         "op8_ownership_secret_scan": lambda s, d: secret_query(docs(s, d)),
         "op9_karmarkar_karp_packing": lambda s, d: pack_query(docs(s, d)),
