@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Token capacity flows from patterns to
 source quotas; a pattern's first epoch costs 0 a token, each repeat costs one more, so the flow repeats nothing while
 fresh tokens can still serve a quota. Then documents are taken in a seeded order: whole epochs for all of a pattern, and
-for the rest of its flow a prefix of that order, closed by up to two documents that fit the gap best.
+for the rest of its flow a prefix of that order, closed by up to four documents that fit the gap best.
 
 Only the pattern table comes to the driver (its row count is checked against `max_patterns`). The cut of a pattern is
 found by a histogram of the seeded hash, so no pattern, however hot, is sorted in one task.
@@ -93,7 +93,7 @@ def size_in_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, max_broadcast: int = 1_000_000, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
     """Rows (doc_id, sources, size, taken, epochs, *keep) and the table source -> (size, target).
 
     `sources` is an array column; `weight_of(k)` is the weight of the k-th source in code point order (default 1, 2, 3, 1, ...).
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
     got = at_cut.groupBy("pattern").agg(F.sum("size").alias("_got"))
     gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in plan.where("cut is not null").join(got, "pattern", "left").collect()}
     extra: list[tuple] = []
-    for last in (False, True):
+    for last in (False, False, False, True):
         todo = spark.createDataFrame([(p, g) for p, g in gaps.items() if g > 0], "pattern string, gap long")
         left = rows.where("size > 0 and (bucket > cut or bucket = cut)").join(at_cut.select("row_id"), "row_id", "left_anti").join(todo, "pattern")
         if extra:
@@ -147,12 +147,24 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
             extra.append(r["x"]["row_id"])
             gaps[r["pattern"]] -= r["x"]["size"]
     chosen = at_cut.select("row_id", "_in").unionByName(spark.createDataFrame([(x, True) for x in extra], "row_id long, _in boolean"))
+    if at_cut.count() <= max_broadcast:
+        chosen = F.broadcast(chosen)
     picked = F.coalesce(F.col("_in"), F.col("bucket") < F.col("cut"), F.lit(False)).cast("long")
     out = rows.join(chosen, "row_id", "left").withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + picked)
     out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs")).alias("taken"), "epochs", *keep)
     return out, {s: (sizes[s], targets[s]) for s in names}
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, with its own columns."""
+    columns = [f"_{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*columns)
+    at = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    out, _ = mix(named, size_in_words(F.col(at["text"])), F.array(F.col(at["source"]).cast("string")), id_col=at["doc_id"], keep=tuple(columns), **options)
+    out = out.where("epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
+    return out.select(*columns).toDF(*docs.columns)
+
+
 def mix_query(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out, found = mix(docs, size_in_words(F.col("text")), F.array(F.col("source").cast("string")))
