@@ -3,7 +3,8 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Token capacity flows from patterns to
 source quotas; a pattern's first epoch costs 0 a token, each repeat costs one more, so the flow repeats nothing while
 fresh tokens can still serve a quota. Then documents are taken in a seeded order: whole epochs for all of a pattern, and
-for the rest of its flow a prefix of that order, closed by up to four documents that fit the gap best.
+for the rest of its flow a prefix of that order, closed by up to three documents that fit the gap best. Where whole documents leave a gap of more than
+1/500 of the pattern's flow, one more document is cut to the words that are missing.
 
 Only the pattern table comes to the driver (its row count is checked against `max_patterns`). The cut of a pattern is
 found by a histogram of the seeded hash, so no pattern, however hot, is sorted in one task.
@@ -14,14 +15,18 @@ doc_ids share a place in the order and are told apart by row; an empty table giv
 
 from __future__ import annotations
 
+import re
 from collections import deque
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, stored
 
 _BUCKETS_BITS = 16
+_RUN = re.compile(f"[^{SPACE}]+")
 
 
 def source_targets(sizes: dict, weights: dict, max_repeat: int = 3) -> dict:
@@ -55,15 +60,15 @@ def route(capacity: dict, quota: dict, max_repeat: int = 3) -> dict:
             free[p] += c
         while True:
             came = {("p", p): None for p in capacity if free[p] > 0}
-            queue, end = deque(came), None
-            while queue and end is None:
+            queue, end, found = deque(came), None, False  # None may be a source
+            while queue and not found:
                 kind, x = queue.popleft()
                 if kind == "p":
                     for s in x:
                         if ("s", s) not in came:
                             came["s", s] = x
                             if need.get(s, 0) > 0:
-                                end = s
+                                end, found = s, True
                                 break
                             queue.append(("s", s))
                 else:
@@ -71,7 +76,7 @@ def route(capacity: dict, quota: dict, max_repeat: int = 3) -> dict:
                         if flow.get((p, x), 0) > 0 and ("p", p) not in came:
                             came["p", p] = x
                             queue.append(("p", p))
-            if end is None:
+            if not found:
                 break
             path, s = [], end
             while True:
@@ -94,7 +99,7 @@ def size_in_words(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, max_broadcast: int = 1_000_000, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
-    """Rows (doc_id, sources, size, taken, epochs, *keep) and the table source -> (size, target).
+    """Rows (doc_id, sources, size, taken, epochs, part, *keep) and the table source -> (size, target).
 
     `sources` is an array column; `weight_of(k)` is the weight of the k-th source in code point order (default 1, 2, 3, 1, ...).
     """
@@ -118,51 +123,65 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
     taken = dict.fromkeys(capacity, 0)
     for (p, _), n in flow.items():
         taken[p] += n
-    plan = [(list(p), taken[p] // c, taken[p] % c) for p, c in capacity.items() if c]
-    plan = spark.createDataFrame(plan, "sources array<string>, epochs long, rest long")
+    plan = [(list(p), taken[p] // c, taken[p] % c, taken[p]) for p, c in capacity.items() if c]
+    plan = spark.createDataFrame(plan, "sources array<string>, epochs long, rest long, flow long")
     # A pattern's sources may hold nulls: joins use a key that tells them apart.
     key = lambda c: F.to_json(F.struct(F.transform(c, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("k")))
-    plan = plan.select(key(F.col("sources")).alias("pattern"), "epochs", "rest")
+    plan = plan.select(key(F.col("sources")).alias("pattern"), "epochs", "rest", "flow")
     rows = slim.withColumn("pattern", key(F.col("sources")))
     up_to = Window.partitionBy("pattern").orderBy("bucket")
     cuts = (
         rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(up_to)).join(plan, "pattern")
         .where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min("bucket").alias("cut"), F.min(F.struct("bucket", F.expr("upto - n")))["col2"].alias("before"))
     )
-    plan = spark.createDataFrame(plan.join(cuts, "pattern", "left").select("pattern", "epochs", "rest", "cut", "before").collect(), "pattern string, epochs long, rest long, cut int, before long")
+    plan = spark.createDataFrame(plan.join(cuts, "pattern", "left").select("pattern", "epochs", "rest", "flow", "cut", "before").collect(), "pattern string, epochs long, rest long, flow long, cut int, before long")
     rows = rows.join(plan, "pattern", "left")
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "row_id")
     at_cut = rows.where("bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(order)).where("_upto <= rest").select("row_id", "pattern", "size", F.lit(True).alias("_in"))
     at_cut = stored(at_cut, "cut")
     got = at_cut.groupBy("pattern").agg(F.sum("size").alias("_got"))
-    gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in plan.where("cut is not null").join(got, "pattern", "left").collect()}
+    open_ones = plan.where("cut is not null").join(got, "pattern", "left").collect()
+    gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in open_ones}
+    flows = {r["pattern"]: r["flow"] for r in open_ones}
     extra: list[tuple] = []
+    # Three whole documents at most that fit the gap, then one cut where the gap is still wide.
     for last in (False, False, False, True):
-        todo = spark.createDataFrame([(p, g) for p, g in gaps.items() if g > 0], "pattern string, gap long")
-        left = rows.where("size > 0 and (bucket > cut or bucket = cut)").join(at_cut.select("row_id"), "row_id", "left_anti").join(todo, "pattern")
+        todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if last else 0)]
+        left = rows.where("size > 0 and bucket >= cut").join(at_cut.select("row_id"), "row_id", "left_anti").join(spark.createDataFrame(todo, "pattern string, gap long"), "pattern")
         if extra:
-            left = left.join(F.broadcast(spark.createDataFrame([(x,) for x in extra], "row_id long")), "row_id", "left_anti")  # one row per pattern at most
-        left = left.where("2 * gap > size" if last else "size <= gap")
-        for r in left.groupBy("pattern").agg(F.min_by(F.struct("row_id", "size"), F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h", "doc_id", "row_id")).alias("x")).collect():
-            extra.append(r["x"]["row_id"])
-            gaps[r["pattern"]] -= r["x"]["size"]
-    chosen = at_cut.select("row_id", "_in").unionByName(spark.createDataFrame([(x, True) for x in extra], "row_id long, _in boolean"))
+            left = left.join(F.broadcast(spark.createDataFrame([x[:1] for x in extra], "row_id long")), "row_id", "left_anti")  # a few rows per pattern
+        left = left.where("size > gap" if last else "size <= gap")
+        order_of = F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h", "doc_id", "row_id")
+        for r in left.groupBy("pattern").agg(F.min_by(F.struct("row_id", "size"), order_of).alias("x")).collect():
+            n = gaps[r["pattern"]] if last else r["x"]["size"]
+            extra.append((r["x"]["row_id"], not last, n if last else 0))
+            gaps[r["pattern"]] -= n
+    chosen = at_cut.select("row_id", "_in", F.lit(0).cast("long").alias("part")).unionByName(spark.createDataFrame(extra, "row_id long, _in boolean, part long"))
     if at_cut.count() <= max_broadcast:
         chosen = F.broadcast(chosen)
     picked = F.coalesce(F.col("_in"), F.col("bucket") < F.col("cut"), F.lit(False)).cast("long")
     out = rows.join(chosen, "row_id", "left").withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + picked)
-    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs")).alias("taken"), "epochs", *keep)
+    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs") + F.coalesce("part", F.lit(0))).alias("taken"), "epochs", F.coalesce("part", F.lit(0)).alias("part"), *keep)
     return out, {s: (sizes[s], targets[s]) for s in names}
 
 
+def _first_words(texts: pa.Array, parts: pa.Array) -> pa.Array:
+    """Each text up to the end of its n-th word."""
+    ends = [next(islice(_RUN.finditer(t.as_py()), n.as_py() - 1, None)).end() for t, n in zip(texts, parts, strict=True)]
+    return pa.array([t.as_py()[:end] for t, end in zip(texts, ends, strict=True)], pa.string())
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with its own columns."""
+    """The mix itself: each row of `docs` as often as it is taken, with its own columns; a cut one ends after its words."""
     columns = [f"_{k}" for k in range(len(docs.columns))]
     named = docs.toDF(*columns)
     at = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     out, _ = mix(named, size_in_words(F.col(at["text"])), F.array(F.col(at["source"]).cast("string")), id_col=at["doc_id"], keep=tuple(columns), **options)
-    out = out.where("epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
-    return out.select(*columns).toDF(*docs.columns)
+    whole = out.where("epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
+    cut = out.where("part > 0").withColumn(at["text"], F.arrow_udf(_first_words, "string")(F.col(at["text"]).cast("string"), F.col("part")))
+    if "n_chars" in at:
+        cut = cut.withColumn(at["n_chars"], F.char_length(at["text"]).cast("long"))
+    return whole.select(*columns).unionByName(cut.select(*columns)).toDF(*docs.columns)
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
