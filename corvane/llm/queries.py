@@ -54,5 +54,33 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Least ids reachable over links: labels spread until nothing changes.
+_REACH = """
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT id, id FROM nodes),
+reach(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON r.other = e.a),
+comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+_OP6 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT i.a, i.b FROM i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp c ON c.id = d.doc_id
+"""
+
+_OP1 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH},
+k AS (SELECT a AS id, count(*) AS n FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v LEFT JOIN k ON k.id = v.vec_id JOIN comp c ON c.id = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_patricia_exact_dedup": _OP3, "op7_grammar_chat_format": _OP7}
+    return {"op1_itq_embedding_dedup": _OP1, "op3_patricia_exact_dedup": _OP3, "op6_parity_sketch_join": _OP6, "op7_grammar_chat_format": _OP7}
