@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import kernels, shapes
+from ..operators import entities, kernels, shapes
 from .registry import query, table
 
 _SHAPES = """SELECT l_orderkey AS page, l_linenumber * 1000 + l_partkey % 1000 AS shape_no, l_partkey % 10 = 9 AS is_clip, l_partkey % 3 > 0 AS filled, l_suppkey % 2 = 0 AS stroked,
@@ -212,3 +212,25 @@ def op79_cad_text(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.trim("text").alias("text"), (F.col("turn") % 4 * 6.0).alias("size"), (F.col("turn") % 5).alias("mode"))
     height = F.floor(F.col("size") * 0.7 * (25.4 / 72.0) * 1e6 + 0.5)
     return c.where("text <> '' and size > 0").select("conv_id", "turn", height.alias("height"), F.when(F.col("mode").isin(1, 2), "stroke").otherwise("fill").alias("paint"))
+
+
+@query("op43_entities")
+def op43_entities(spark, d):
+    """Every order as a page of one subpath per supplier parity: (entity, kind, points, closed) in drawing order."""
+    items = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber * 1000000 + l_partkey AS ord", "l_suppkey % 2 AS sub", "l_partkey % 3 AS op", "l_quantity * 3 AS x", "CAST(l_partkey % 90 AS DOUBLE) AS y")
+
+    def kernel(f):
+        found = []
+        for sub in (0, 1):
+            part = f[f["sub"] == sub]
+            commands, now = [], None
+            for op, x, y in zip(part["op"], part["x"], part["y"], strict=True):
+                p = complex(x, y)
+                commands.append(("move", p) if now is None else ("line", p) if op < 2 else ("curve", now + 5j, p + 5j, p))
+                now = p
+            if len(part) % 2:
+                commands.append(("close",))
+            found += [(e, sub) for e in entities.entities(commands, (10.0, 10.0, 140.0, 80.0), 0.01)]
+        return [(k, *e) for k, e in enumerate(entities.finished(found, 0.01))]
+
+    return kernels.per_group(items, "l_orderkey", "ord", "l_orderkey long, entity int, kind string, colour int, points int, closed boolean", kernel)
