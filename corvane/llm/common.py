@@ -6,7 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +81,33 @@ def numbered(df: DataFrame, *order: str, name: str = "row_no") -> tuple[DataFram
     return out, total
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id of each one's component) of a list of edges: least labels over edges, then pointers of pointers."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if parts:
+        ids, roots = roots_of(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["id", "component_id"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_local: int = 1_000_000) -> DataFrame:
     """(id, component_id) of every id in an edge: the smallest id reachable.
 
     Alternating large and small stars on DataFrames: each round joins every edge with the least neighbour of its end, so
     no component is ever gathered in one task; rounds are written to the shared folder until the edge set stands still.
+    From the round on in which at most `max_local` edges are left (counted, 16 bytes each), one task joins those at once.
     """
     now = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
@@ -93,8 +118,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     was = mark(now)
     while was[0]:
+        if was[0] <= max_local:
+            return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "id long, component_id long")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         paired = large.join(least, "u")

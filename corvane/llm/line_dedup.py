@@ -15,6 +15,7 @@ comes after all others; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import stored
-from .linking import link_components, shared_buckets
-from .shingles import char_shingles, common, mix64
+from .linking import link_components, only, shared_buckets
+from .shingles import char_shingles, common, mix64, powers
 
 _U = np.uint64
 WIDTH, BANDS, ROWS = 6, 14, 4
@@ -32,7 +33,6 @@ _BINS = BANDS * ROWS
 _BLOCK = 1 << 19
 _SEEN = 1_000_000
 _STRIP = " \t\n\x0b\x0c\r"
-_BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 class Lines:
@@ -45,25 +45,20 @@ class Lines:
         starts = np.concatenate(([0], ends[:-1] + 1))
         owner = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
         first_of = np.searchsorted(owner, owner)
-        solid = np.flatnonzero((points > 32) | ~np.isin(points, _BLANK))
+        solid = np.flatnonzero((points > 32) | (points < 9) | ((points > 13) & (points < 32)))
         lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         ok = lo < hi
         self.owner, self.number = owner[ok], (np.arange(len(owner)) - first_of)[ok]
         self.start, self.end = (solid[lo[ok]], solid[hi[ok] - 1] + 1) if ok.any() else (np.zeros(0, np.int64),) * 2
-        self.ids = [self._hash(salt) for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+        self.mixed = mix64(points.astype(_U) + _U(1))
+        self.ids = [self._hash(base) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
     def _hash(self, base: int) -> np.ndarray:
         """64 bits of every line's content: a polynomial over its code points, brought to a common start."""
-        base |= 1
-        n = len(self.points) + 1
-        up = np.full(n, base, _U)
-        down = np.full(n, pow(base, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        total = np.zeros(n, _U)
-        np.cumsum(mix64(self.points.astype(_U) + _U(base >> 7)) * up[:-1], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(_U)).view(np.int64)
+        n = len(self.points)
+        total = np.zeros(n + 1, _U)
+        np.cumsum(self.mixed * powers(n, base), out=total[1:])
+        return mix64((total[self.end] - total[self.start]) * powers(n + 1, pow(base, -1, 1 << 64))[self.start] + (self.end - self.start).astype(_U)).view(np.int64)
 
     def text(self, k: int) -> str:
         return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
@@ -97,7 +92,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set sizes, matrix of bin minima) of the chosen lines."""
-    points = mix64(lines.points.astype(_U) + _U(1))
+    points = lines.mixed
     runs = max(0, len(points) - WIDTH + 1)
     rolled = np.zeros(runs, _U)
     for k in range(WIDTH):
@@ -170,8 +165,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), batch.column(1), pa.array([ngram_join.sketch(x) for x in sets], pa.binary())], schema=schema)
 
 
+@lru_cache(4096)
+def _set(line: bytes) -> np.ndarray:
+    """A line's set; pairs of one line come after one another."""
+    return char_shingles(line, WIDTH)
+
+
 def linked(x: bytes, y: bytes) -> bool:
-    a, b = char_shingles(x, WIDTH), char_shingles(y, WIDTH)
+    a, b = _set(x), _set(y)
     both = common(a, b)
     return 4 * both >= 3 * (len(a) + len(b) - both) > 0
 
@@ -184,10 +185,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = stored(slim.mapInArrow(_placed, "doc_id long, mark long, line_no int, id long, id2 long"), "places")
     shared = stored(shared_buckets(words.mapInArrow(_keyed, "key long, id long, n int")), "shared")
 
-    def bodies(ids: DataFrame) -> DataFrame:
-        return words.mapInArrow(_worded, "id long, body binary").join(ids, "id").mapInArrow(_sketched, "id long, n int, body binary, sketch binary")
-
-    found = link_components(shared, bodies, ngram_join.fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, ngram_join.far)
+    # A line is short, so its sketch and its text come together, for the lines that share a band only.
+    met = stored(shared.select("id").distinct(), "ids")
+    known = stored(only(words.mapInArrow(_worded, "id long, body binary"), met).mapInArrow(_sketched, "id long, n int, body binary, sketch binary"), "lines")
+    found = link_components(
+        shared, known.select("id", "n", "sketch"), lambda ids: only(known, ids).select("id", "body"),
+        ngram_join.fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, ngram_join.far,
+    )
     each = places.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count(F.lit(1)).alias("n"))
     each = each.join(found, "id", "left")
     heads = each.where("component_id is not null").groupBy("component_id").agg(F.min("first").alias("head"))
@@ -207,15 +211,15 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = duplicate_lines(docs, id_col, text_col).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line_no")).alias("_gone"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_mark", F.xxhash64(F.col(text_col).cast("string")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_gone")
-    return keyed.join(gone, ["_id", "_mark"], "left").drop("_id", "_mark")
+    gone = duplicate_lines(docs, id_col, text_col).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line_no")).alias("_corvane_gone"))
+    keyed = docs.withColumn("_corvane_id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_corvane_mark", F.xxhash64(F.col(text_col).cast("string")))
+    gone = gone.select(F.col("doc_id").alias("_corvane_id"), F.col("mark").alias("_corvane_mark"), "_corvane_gone")
+    return keyed.join(gone, ["_corvane_id", "_corvane_mark"], "left").drop("_corvane_id", "_corvane_mark")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with only the kept lines in each text; the columns stay."""
-    return _told(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_without, "string")(F.col(text_col).cast("string"), F.col("_gone"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _told(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_without, "string")(F.col(text_col).cast("string"), F.col("_corvane_gone"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_query(docs: DataFrame) -> DataFrame:
@@ -223,5 +227,5 @@ def line_query(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = _told(slim.select("doc_id", "text"), "doc_id", "text")
     n = F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    gone = F.coalesce("_corvane_gone", F.array().cast("array<int>"))
     return out.select("doc_id", n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))

@@ -1,9 +1,10 @@
 """From buckets that candidates share to verified links and components, without emitting the pairs of a group.
 
-Every true link shares at least one bucket (exactly or with high probability, as the operator's keys provide). Two rounds
+Every true link shares at least one bucket (exactly or with high probability, as the operator's keys provide). Two steps
 decide all of them up to connectivity:
 
-1. every member is verified against the smallest member of its buckets; links join components;
+1. three times over, every member is verified against the one centre, among those of its buckets that lie in another component,
+   that it meets most often; links join components; each time other members are the centres;
 2. of buckets that still hold several components, only pairs across components are formed, inside the task that streams
    the bucket, and only those that pass a bound on compact sketches leave it for verification.
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 _TILE = 256
+_TURNS = 3
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -80,8 +82,8 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_shared, "key long, id long, n int, center long, center_n int")
 
 
-def _across(fits: Callable, far: Callable | None):
-    """Pairs of different components inside a bucket that `fits` (sizes) and, given sketches, not `far`."""
+def _across(fits: Callable, far: Callable):
+    """Pairs of different components inside a bucket that `fits` (sizes) and not `far` by their sketches."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,9 @@ def _across(fits: Callable, far: Callable | None):
             key, ids, n, comp = (t.column(k).to_numpy() for k in range(4))
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-                sketches = t.column(4).slice(lo, hi - lo).to_pylist() if far else None
+                if (comp[lo:hi] == comp[lo]).all():
+                    continue
+                sketches = t.column(4).slice(lo, hi - lo).to_pylist()
                 for x in range(lo, hi, _TILE):
                     for y in range(x, hi, _TILE):
                         i, j = np.arange(x, min(x + _TILE, hi)), np.arange(y, min(y + _TILE, hi))
@@ -97,7 +101,7 @@ def _across(fits: Callable, far: Callable | None):
                         if x == y:
                             ok &= i[:, None] < j[None]
                         p, q = np.nonzero(ok)
-                        if far and len(p):
+                        if len(p):
                             near = ~far([sketches[k - lo] for k in i], [sketches[k - lo] for k in j], n[i], n[j], p, q)
                             p, q = p[near], q[near]
                         if len(p):
@@ -107,6 +111,27 @@ def _across(fits: Callable, far: Callable | None):
     return run
 
 
+def _centred(fits: Callable):
+    """(id, center): of every bucket of several components its first member, for the members of other components that fit."""
+    schema = pa.schema([("id", pa.int64()), ("center", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, n, comp = (batch.column(k).to_numpy() for k in range(4))
+            if last is not None and last[0] == key[0]:
+                key, ids, n, comp = (np.append(x, y) for x, y in zip(last, (key, ids, n, comp), strict=True))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            of = np.repeat(first, np.diff(np.append(first, len(key))))
+            ok = (comp != comp[of]) & fits(n, n[of])
+            last = tuple(x[first[-1]] for x in (key, ids, n, comp))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(ids[of][ok])], schema=schema)
+
+    return run
+
+
 def _verified(linked: Callable[[bytes, bytes], bool]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -125,28 +150,79 @@ def verify(pairs: DataFrame, bodies: DataFrame, linked: Callable[[bytes, bytes],
     return both.select("a", "b", "_x", "_y").mapInArrow(_verified(linked), "a long, b long")
 
 
-def link_components(shared: DataFrame, bodies: Callable[[DataFrame], DataFrame], fits: Callable, fits_sql: str, linked: Callable[[bytes, bytes], bool], far: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
+def _close(far: Callable):
+    """Pairs (a, b, n, m, sketch, sketch) that the sketches don't rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            width = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)])
+            keep = np.zeros(batch.num_rows, bool)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                same = np.arange(len(at))
+                keep[at] = ~far([left[k] for k in at], [right[k] for k in at], n[at], m[at], same, same)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep))
+
+    return run
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, far: Callable) -> DataFrame:
+    one = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_x")), "a")
+    both = one.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_y")), "b")
+    return both.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(_close(far), "a long, b long").distinct()
+
+
+def only(rows: DataFrame, ids: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """`rows` whose id is among `ids`, stored and distinct. Up to so many ids are broadcast, more are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, "id", "left_semi")
+
+
+def _ids(pairs: DataFrame, name: str) -> DataFrame:
+    return stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), name)
+
+
+def link_components(shared: DataFrame, sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame], fits: Callable, fits_sql: str, linked: Callable[[bytes, bytes], bool], far: Callable, known: DataFrame | None = None) -> DataFrame:
     """(id, component_id) of everything that is linked.
 
-    shared: stored rows of shared_buckets. bodies: gives (id, n, body, sketch) for a frame of ids. fits and fits_sql say
-    the same of two sizes (n and center_n in SQL). known: links (a, b) that hold already.
+    shared: stored rows of shared_buckets. sketches: stored (id, n, sketch), rows of shared ids at least. bodies: gives
+    (id, body) for a stored frame of ids. fits and fits_sql say the same of two sizes (n and center_n in SQL). known: links
+    (a, b) that hold already.
     """
-    involved = stored(bodies(shared.select("id").distinct()), "bodies")
-    # One star edge per id, to the smallest centre that its size allows: as many rows as ids.
-    stars = shared.where(f"id <> center and {fits_sql}").groupBy("id").agg(F.min("center").alias("b")).select(F.col("id").alias("a"), "b")
-    links = verify(stars, involved, linked)
-    if known is not None:
-        links = links.unionByName(known)
-    links = stored(links, "links")
-    found = stored(components(links), "comp")
-    of = shared.select("key", "id", "n").join(found, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = of.join(mixed, "key").select("key", "id", "n", "comp").distinct()
-    columns = ["key", "id", "n", "comp"]
-    if far is not None:
-        left, columns = left.join(involved.select("id", "sketch"), "id"), [*columns, "sketch"]
+    links, found, first = known, None, None
+    of = shared.select("key", "id", "n").withColumn("comp", F.col("id"))
+    for turn in range(_TURNS):
+        # One star edge per id, to the centre that it shares most buckets with: as many rows as ids.
+        if turn == 0:
+            met = shared.where(f"id <> center and {fits_sql}").select("id", "center")
+        else:
+            met = of.repartition("key").sortWithinPartitions("key", F.xxhash64("id", F.lit(turn))).mapInArrow(_centred(fits), "id long, center long")
+        votes = met.groupBy("id", "center").agg(F.count(F.lit(1)).alias("votes"))
+        stars = votes.groupBy("id").agg(F.max_by("center", F.struct("votes", (-F.col("center")).alias("o"))).alias("b")).select(F.col("id").alias("a"), "b")
+        stars = stored(close_pairs(stars, sketches, far), "stars")
+        fresh = _ids(stars, "ids")
+        if first is not None:
+            fresh = stored(fresh.join(first.select("id"), "id", "left_anti"), "ids")
+        read = stored(bodies(fresh), "bodies")
+        first = read if first is None else first.unionByName(read)
+        new = verify(stars, first, linked)
+        links = stored(new if links is None else links.unionByName(new), "links")
+        found = stored(components(links), "comp")
+        # Buckets that lie in one component are settled and go.
+        of = of.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+        mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        of = stored(of.join(mixed, "key").select("key", "id", "n", "comp").distinct(), "mixed")
+    left = of.join(sketches.select("id", "sketch"), "id")
+    columns = ["key", "id", "n", "comp", "sketch"]
     pairs = left.select(*columns).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(fits, far), "a long, b long").distinct()
-    more = stored(verify(pairs, involved, linked), "links")
+    pairs = stored(pairs, "pairs")
+    if pairs.limit(1).count() == 0:
+        return found
+    new = stored(_ids(pairs, "ids").join(first.select("id"), "id", "left_anti"), "ids")
+    both = first.unionByName(stored(bodies(new), "bodies"))
+    more = stored(verify(pairs, both, linked), "links")
     if more.limit(1).count() == 0:
         return found
     return components(links.unionByName(more))

@@ -8,8 +8,11 @@ the sets themselves.
 
 Bands are [2^k, 2^(k+1)); a set within a third above its band's lower end is also keyed in the band below, so any two sizes that
 can be linked meet in a band. A set of size s keys its first t(s) pieces, t rising with s, so a pair shares the keys of the
-smaller one. Empty pieces would agree with everything: a piece without shingles is keyed only by sets that have, for some
-partner size, too few other pieces for the pigeonhole; then both of a missed pair would have keyed it. The join is exact.
+smaller one. Shingles that many sets share (counted over the whole corpus, the `max_common` most frequent) are left out of
+the sketches: what remains still bounds the distance from below, and documents with a passage in common no longer meet. A
+set that then lacks pieces with shingles for the pigeonhole, for any partner size, is keyed once more by its whole set, and
+if that lacks some too, by its empty pieces as well; of two linked sets either one has enough, or both are keyed so. Which
+shingles are left out changes the cost, never a result: the join is exact.
 
 Sets with equal fingerprints (128 bits of the sorted set) are one class before anything is keyed; each input partition keys
 a class once. See linking.py for how buckets become components without the pairs of a group.
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .linking import link_components, shared_buckets
+from .linking import link_components, only, shared_buckets
 from .shingles import common, mix64, shingle_sets
 
 _U = np.uint64
 _SEEN = 1_000_000
+#: A shingle that so many different sets of a batch share is counted over the corpus.
+_OFTEN = 4
 
 
 def pieces_of(band: int) -> int:
@@ -52,38 +57,54 @@ def _needed(band: int, made: dict = {}) -> np.ndarray:  # noqa: B006  a table pe
     return made[band]
 
 
-def band_keys(found: np.ndarray, band: int) -> np.ndarray:
-    """The keys of a sorted set in a band, its own or the one below."""
-    n, p, low = len(found), pieces_of(band), 1 << band
+def band_keys(found: np.ndarray, size: int, band: int, salt: int) -> tuple[np.ndarray, bool]:
+    """The keys of what is sketched of a set of some size, in its own band or the one below, and whether they suffice.
+
+    They do if, for every partner size, more pieces hold shingles than a link lets differ.
+    """
+    p, low = pieces_of(band), 1 << band
     t_of = _needed(band)
-    partners = np.arange(max(low, -(-3 * n // 4)), min(n, 2 * low - 1) + 1)
-    t = int(t_of[min(n, 2 * low - 1) - low])
+    partners = np.arange(max(low, -(-3 * size // 4)), min(size, 2 * low - 1) + 1)
+    t = int(t_of[min(size, 2 * low - 1) - low])
     piece = ((found >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)
     upto = int(np.searchsorted(piece, t))
     piece, mine = piece[:upto], found[:upto]
-    if not upto:
-        starts, full = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.zeros(0, _U)
-    else:
+    full, codes = np.zeros(0, np.int64), np.zeros(0, _U)
+    if upto:
         starts = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
         full = piece[starts]
         bit = (piece.astype(_U) << _U(20)) | (mine & _U(0xFFFFF))
         codes = np.bitwise_xor.reduceat(mix64(bit + _U(1)), starts)
-    have = np.searchsorted(full, t_of[partners - low])
-    if (have < (partners + n) // 7 + 1).any():
+    enough = bool((np.searchsorted(full, t_of[partners - low]) >= (partners + size) // 7 + 1).all())
+    if salt and not enough:  # of whole sets, then, empty pieces are keyed too
         empty = np.setdiff1d(np.arange(t), full)
         full, codes = np.append(full, empty), np.append(codes, np.zeros(len(empty), _U))
-    return mix64(codes + full.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + _U((band + 1) * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+    mark = _U(((2 * band + salt + 1) * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF)
+    return mix64(codes + full.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + mark).view(np.int64), enough
 
 
-def keys_of(found: np.ndarray) -> np.ndarray:
+def keys_of(found: np.ndarray, common_ones: np.ndarray) -> np.ndarray:
     """All keys of a set. Sizes 1 and 2 are linked with equal sets only."""
     n = len(found)
     if n <= 2:
         return np.zeros(0, np.int64)
-    band = n.bit_length() - 1
-    out = band_keys(found, band)
-    return np.append(out, band_keys(found, band - 1)) if 3 * n < 4 << band else out
+    rare = found[~_among(found, common_ones)]
+    top = n.bit_length() - 1
+    out = []
+    for band in (top, top - 1) if 3 * n < 4 << top else (top,):
+        keys, enough = band_keys(rare, n, band, 0)
+        out.append(keys)
+        if not enough:
+            out.append(band_keys(found, n, band, 1)[0])
+    return np.concatenate(out)
+
+
+def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    if not len(of):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(of, x)
+    at[at == len(of)] = 0
+    return of[at] == x
 
 
 def fingerprint(found: np.ndarray) -> bytes:
@@ -91,38 +112,70 @@ def fingerprint(found: np.ndarray) -> bytes:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and fingerprint of every text's set."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary())])
+    """Size, fingerprint and sketch of every text's set; on each batch's last row the batch's frequent shingles."""
+    often = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("sketch", pa.binary()), ("often", often)])
     for batch in batches:
-        n, marks = [], []
+        n, marks, sketches, seen, sets, counted = [], [], [], set(), [], []
+        held = 0
+
+        def count() -> None:
+            if sets:
+                values, times = np.unique(np.concatenate(sets), return_counts=True)
+                counted.append((values[times >= _OFTEN], times[times >= _OFTEN]))
+                sets.clear()
+
         for found in shingle_sets(batch.column(1)):
             n.append(len(found))
             marks.append(fingerprint(found) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary())], schema=schema)
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sketches.append(sketch(found))
+            if marks[-1] is not None and marks[-1] not in seen:
+                seen.add(marks[-1])
+                sets.append(found)
+                held += len(found)
+                if held > 1_000_000:
+                    count()
+                    held = 0
+        count()
+        extra = [{"shingle": int(v), "n": int(k)} for values, times in counted for v, k in zip(values.view(np.int64), times, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.binary()), pa.array([None] * (len(n) - 1) + [extra] if n else [], often)], schema=schema
+        )
+
+
+def _keyed(common_ones: np.ndarray):
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
-    seen: set[bytes] = set()
-    for batch in batches:
-        ids, keys, owner, size = batch.column(0).to_pylist(), [], [], []
-        for i, found in zip(ids, shingle_sets(batch.column(1)), strict=True):
-            if i is None or len(found) < 3 or (mark := fingerprint(found)) in seen:
-                continue
-            if len(seen) >= _SEEN:
-                seen.clear()  # a class may then be keyed again, which changes nothing
-            seen.add(mark)
-            keys.append(keys_of(found))
-            owner.append(i)
-            size.append(len(found))
-        if keys:
-            n = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), n)), pa.array(np.repeat(np.array(size, np.int32), n))], schema=schema)
+
+    def rows(keys: list, owner: list, size: list) -> pa.RecordBatch:
+        n = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), n)), pa.array(np.repeat(np.array(size, np.int32), n))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, owner, size, held = [], [], [], 0
+            for i, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if i is None or len(found) < 3 or (mark := fingerprint(found)) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()  # a class may then be keyed again, which changes nothing
+                seen.add(mark)
+                keys.append(keys_of(found, common_ones))
+                owner.append(i)
+                size.append(len(found))
+                held += len(keys[-1])
+                if held > 200_000:
+                    yield rows(keys, owner, size)
+                    keys, owner, size, held = [], [], [], 0
+            if keys:
+                yield rows(keys, owner, size)
+
+    return run
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """A dense parity sketch of about four bits a shingle, 256 to 65536 bits."""
-    bits = min(65536, max(256, 1 << (4 * len(found) - 1).bit_length()))
+    """A dense parity sketch of one to two bits a shingle, 64 to 65536 bits."""
+    bits = min(65536, max(64, 1 << max(len(found) - 1, 0).bit_length()))
     odd = np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -159,28 +212,25 @@ def linked(x: bytes, y: bytes) -> bool:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("body", pa.binary()), ("sketch", pa.binary())])
-    for batch in batches:
-        n, bodies, sketches = [], [], []
-        for found in shingle_sets(batch.column(1)):
-            n.append(len(found))
-            bodies.append(found.tobytes())
-            sketches.append(sketch(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(bodies, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
+    schema = pa.schema([("id", pa.int64()), ("body", pa.binary())])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch = whole.slice(k, 1000)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], schema=schema)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id."""
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id. `max_common` bounds the broadcast of common shingles."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(slim.mapInArrow(_measure, "id long, n long, mark binary"), "sets")
+    sets = stored(slim.mapInArrow(_measure, "id long, n long, mark binary, sketch binary, often array<struct<shingle:long,n:long>>"), "sets")
+    often = sets.select(F.explode("often").alias("o")).groupBy("o.shingle").agg(F.sum("o.n").alias("n")).where(F.col("n") >= 4 * _OFTEN)
+    often = often.orderBy(F.desc("n"), "shingle").limit(max_common).select("shingle").toArrow().column(0).to_numpy().astype(np.int64)
     named = sets.where("id is not null and n > 0")
     least = named.groupBy("n", "mark").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").drop("top")
     same = named.join(least, ["n", "mark"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    shared = stored(shared_buckets(slim.mapInArrow(_keyed, "key long, id long, n int")), "shared")
-
-    def bodies(ids: DataFrame) -> DataFrame:
-        # Whole texts meet their ids in a shuffle; on large inputs Catalyst puts a runtime Bloom filter before it.
-        return slim.join(ids, "id").mapInArrow(_bodies, "id long, n int, body binary, sketch binary")
-
-    found = link_components(shared, bodies, fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, far, same)
+    shared = stored(shared_buckets(slim.mapInArrow(_keyed(np.sort(often.view(_U))), "key long, id long, n int")), "shared")
+    found = link_components(
+        shared, named.select("id", F.col("n").cast("int").alias("n"), "sketch"), lambda ids: only(slim, ids).mapInArrow(_bodies, "id long, body binary"),
+        fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, far, same,
+    )
     return sets.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))

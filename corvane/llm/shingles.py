@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -27,7 +28,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int, base: int, made: dict = {}) -> np.ndarray:  # noqa: B006  kept between batches
+def powers(n: int, base: int, made: dict = {}) -> np.ndarray:  # noqa: B006  kept between batches
+    """1, base, base squared, ... modulo 2**64."""
     if n > len(made.get(base, ())):
         size = max(2 * _BLOCK, n)
         p = np.full(size, base, _U)
@@ -65,9 +67,9 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK)))
         lo, hi = int(starts[at]), int(ends[to - 1])
         total = np.zeros(hi - lo + 1, _U)
-        np.cumsum(_LOWER[data[lo:hi]] * _powers(hi - lo, _BASE), out=total[1:])
+        np.cumsum(_LOWER[data[lo:hi]] * powers(hi - lo, _BASE), out=total[1:])
         a, b = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = (total[b] - total[a]) * _powers(hi - lo, _INVERSE)[a] + (b - a).astype(_U)
+        out[at:to] = (total[b] - total[a]) * powers(hi - lo, _INVERSE)[a] + (b - a).astype(_U)
         at = to
     return mix64(out), np.searchsorted(starts, bounds)
 
@@ -86,19 +88,31 @@ def sorted_set(x: np.ndarray) -> np.ndarray:
     return x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
+def _slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of rows of about so many bytes; a longer text is a run of its own."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) if len(column) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Each row's sorted set of word shingle hashes; a text with fewer words has one shingle, one without words none."""
-    data, bounds = buffers(column)
-    words, at = word_hashes(data, bounds)
-    runs = _folded(words, width) if len(words) >= width else np.zeros(0, _U)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        n = b - a
-        if n >= width:
-            yield sorted_set(runs[a : b - width + 1])
-        elif n:
-            yield _folded(words[a:b], n)
-        else:
-            yield np.zeros(0, _U)
+    for part in _slices(column, 2 * _BLOCK):
+        data, bounds = buffers(part)
+        words, at = word_hashes(data, bounds)
+        runs = _folded(words, width) if len(words) >= width else np.zeros(0, _U)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = b - a
+            if n >= width:
+                yield sorted_set(runs[a : b - width + 1])
+            elif n:
+                yield _folded(words[a:b], n)
+            else:
+                yield np.zeros(0, _U)
 
 
 def char_shingles(data: bytes, width: int) -> np.ndarray:
