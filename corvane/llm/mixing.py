@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Token capacity flows from patterns to
 source quotas; a pattern's first epoch costs 0 a token, each repeat costs one more, so the flow repeats nothing while
 fresh tokens can still serve a quota. Then documents are taken in a seeded order: whole epochs for all of a pattern, and
-for the rest of its flow a prefix of that order, closed by up to three documents that fit the gap best. Where whole documents leave a gap of more than
+for the rest of its flow a prefix of that order, closed by a document that fits the gap best. Where whole documents leave a gap of more than
 1/500 of the pattern's flow, one more document is cut to the words that are missing.
 
 Only the pattern table comes to the driver (its row count is checked against `max_patterns`). The cut of a pattern is
@@ -144,9 +144,11 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
     gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in open_ones}
     flows = {r["pattern"]: r["flow"] for r in open_ones}
     extra: list[tuple] = []
-    # Three whole documents at most that fit the gap, then one cut where the gap is still wide.
-    for last in (False, False, False, True):
+    # One whole document that fits the gap, then one cut where the gap is still wide.
+    for last in (False, True):
         todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if last else 0)]
+        if not todo:
+            continue
         left = rows.where("size > 0 and bucket >= cut").join(at_cut.select("row_id"), "row_id", "left_anti").join(spark.createDataFrame(todo, "pattern string, gap long"), "pattern")
         if extra:
             left = left.join(F.broadcast(spark.createDataFrame([x[:1] for x in extra], "row_id long")), "row_id", "left_anti")  # a few rows per pattern
