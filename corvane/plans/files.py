@@ -298,3 +298,26 @@ def op92_temp_name(spark, d):
     taken = table(spark, d, "part").select("p_partkey", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n")).where("n <= p_partkey % 4")
     want = table(spark, d, "part").select("p_partkey", F.concat(F.lit("file"), F.col("p_partkey").cast("string")).alias("dest"))
     return scan.free_temp_names(want, taken, "p_partkey", "dest", 4)
+
+
+@query("op14_drawing_roundtrip", "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey")
+def op14_drawing_roundtrip(spark, d):
+    """Drawings written as text and read again."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("ord"), F.lit("  10").alias("code"), F.col("l_quantity").cast("int").cast("string").alias("value"))
+    back = drawing.pairs(drawing.rendered(rows, "l_orderkey", "ord"), "l_orderkey", "body").where("code = '10'")
+    return back.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+_TRIM = ("%/a%", "%.html", "%7%")
+
+
+@query("op100_folder_trim", f"""
+SELECT page_id % 10 AS folder, CAST(sum(octet_length(encode(html))) AS BIGINT) AS before, CAST(coalesce(sum(octet_length(encode(html))) FILTER (WHERE NOT ({' OR '.join(f"url LIKE '{p}'" for p in _TRIM)}) OR page_id % 4 = 0), 0) AS BIGINT) AS after FROM pages GROUP BY ALL
+""")
+def op100_folder_trim(spark, d):
+    """Sizes of folders before and after files that match a list of patterns go; those of kept languages stay."""
+    hit = F.lit(False)
+    for p in _TRIM:
+        hit = hit | F.col("url").like(p)
+    files = table(spark, d, "pages").select((F.col("page_id") % 10).alias("folder"), F.octet_length(F.col("html").cast("binary")).cast("long").alias("n"), (hit & (F.col("page_id") % 4 != 0)).alias("gone"))
+    return files.groupBy("folder").agg(F.sum("n").alias("before"), F.coalesce(F.sum(F.when(~F.col("gone"), F.col("n"))), F.lit(0)).alias("after"))
