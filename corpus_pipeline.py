@@ -20,7 +20,7 @@ from corvane.llm.toxicity import held_out, score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 1/2."""
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, model, out_col="_score").where("_score < 0.5").drop("_score")
+    return score(docs, model, out_col="_corvane_score").where("_corvane_score < 0.5").drop("_corvane_score")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = ngram_jaccard_join(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_at", F.row_number().over(at)).where("_at = 1")
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_corvane_at", F.row_number().over(at)).where("_corvane_at = 1")
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
