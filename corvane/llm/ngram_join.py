@@ -10,9 +10,9 @@ Bands are [2^k, 2^(k+1)); a set within a third above its band's lower end is als
 can be linked meet in a band. A set of size s keys its first t(s) pieces, t rising with s, so a pair shares the keys of the
 smaller one. Shingles that many sets share (counted over the whole corpus, the `max_common` most frequent) are left out of
 the sketches: what remains still bounds the distance from below, and documents with a passage in common no longer meet. A
-set that then lacks pieces with shingles for the pigeonhole, for any partner size, is keyed once more by its whole set, and
-if that lacks some too, by its empty pieces as well; of two linked sets either one has enough, or both are keyed so. Which
-shingles are left out changes the cost, never a result: the join is exact.
+set that then lacks pieces with shingles for the pigeonhole, for any partner size below or above its own, is keyed once
+more by its whole set, and if that lacks some too, by its empty pieces as well; of two linked sets either one has enough for
+the other, or both are keyed so. Which shingles are left out changes the cost, never a result: the join is exact.
 
 Sets with equal fingerprints (128 bits of the sorted set) are one class before anything is keyed; each input partition keys
 a class once. See linking.py for how buckets become components without the pairs of a group.
@@ -60,11 +60,12 @@ def _needed(band: int, made: dict = {}) -> np.ndarray:  # noqa: B006  a table pe
 def band_keys(found: np.ndarray, size: int, band: int, salt: int) -> tuple[np.ndarray, bool]:
     """The keys of what is sketched of a set of some size, in its own band or the one below, and whether they suffice.
 
-    They do if, for every partner size, more pieces hold shingles than a link lets differ.
+    They do if, for every partner size, smaller or larger, more of the pieces that both key hold shingles than a link lets differ.
     """
     p, low = pieces_of(band), 1 << band
     t_of = _needed(band)
-    partners = np.arange(max(low, -(-3 * size // 4)), min(size, 2 * low - 1) + 1)
+    most = 4 * size // 3 if size < 2 * low else 2 * low - 1  # larger partners of the next band are keyed here too
+    partners = np.arange(max(low, -(-3 * size // 4)), most + 1)
     t = int(t_of[min(size, 2 * low - 1) - low])
     piece = ((found >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)
     upto = int(np.searchsorted(piece, t))
@@ -75,7 +76,7 @@ def band_keys(found: np.ndarray, size: int, band: int, salt: int) -> tuple[np.nd
         full = piece[starts]
         bit = (piece.astype(_U) << _U(20)) | (mine & _U(0xFFFFF))
         codes = np.bitwise_xor.reduceat(mix64(bit + _U(1)), starts)
-    enough = bool((np.searchsorted(full, t_of[partners - low]) >= (partners + size) // 7 + 1).all())
+    enough = bool((np.searchsorted(full, t_of[np.minimum(partners, size) - low]) >= (partners + size) // 7 + 1).all())
     if salt and not enough:  # of whole sets, then, empty pieces are keyed too
         empty = np.setdiff1d(np.arange(t), full)
         full, codes = np.append(full, empty), np.append(codes, np.zeros(len(empty), _U))

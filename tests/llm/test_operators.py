@@ -189,6 +189,17 @@ def test_pigeonhole_keys_lose_no_link():
         assert not ngram_join.far([x], [y], np.array([len(base)]), np.array([len(other)]), np.array([0]), np.array([0]))[0]
 
 
+def test_pigeonhole_keys_meet_across_a_third():
+    """A set and itself plus a third, the widest link there is, share a key though the smaller one has enough pieces for its own size."""
+    rng = np.random.default_rng(2)
+    for trial in range(6000):
+        n = int(rng.choice((3, 6, 9, 12, 24, 48)))
+        small = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        large = np.unique(np.concatenate([small, rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        left_out = np.sort(rng.choice(large, int(rng.integers(0, len(large) + 1)), replace=False))
+        assert np.intersect1d(ngram_join.keys_of(small, left_out), ngram_join.keys_of(large, left_out)).size, (trial, n)
+
+
 def char_set(line):
     return {line[i : i + 6] for i in range(len(line) - 5)} if len(line) >= 6 else {line}
 
