@@ -32,6 +32,8 @@ WIDTH, BANDS, ROWS = 6, 14, 4
 _BINS = BANDS * ROWS
 _BLOCK = 1 << 19
 _SEEN = 1_000_000
+#: Signatures are made in runs of so many lines: a line's row has 20 bits.
+_RUN = (1 << 20) - 1
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -144,9 +146,10 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for _, lines in _blocks(batches):
         new = _fresh(lines, seen)
-        if len(new):
-            sizes, sig = signatures(lines, new)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(np.repeat(lines.ids[0][new], BANDS)), pa.array(np.repeat(sizes.astype(np.int32), BANDS))], schema=schema)
+        for k in range(0, len(new), _RUN):
+            run = new[k : k + _RUN]
+            sizes, sig = signatures(lines, run)
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(np.repeat(lines.ids[0][run], BANDS)), pa.array(np.repeat(sizes.astype(np.int32), BANDS))], schema=schema)
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,6 +228,21 @@ def test_line_dedup(docs, empty, rows, spark):
     assert line_dedup.line_query(empty).count() == 0
 
 
+def test_a_text_of_more_lines_than_a_run_holds(monkeypatch):
+    """Lines are keyed in runs whose rows fit their 20 bits; keys and sizes don't depend on the run's length."""
+    import pyarrow as pa
+
+    calls, whole = [], line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda lines, which: calls.append(len(which)) or whole(lines, which))
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(f"line {k * 7919} of a long log" for k in range(1000))])], names=["text"])
+    keyed = lambda: sorted(r for b in line_dedup._keyed(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+    want = keyed()
+    assert calls == [1000] and len(want) == 14 * 1000 and line_dedup._RUN < 1 << 20
+    monkeypatch.setattr(line_dedup, "_RUN", 300)
+    calls.clear()
+    assert keyed() == want and calls == [300, 300, 300, 100]
+
+
 def test_chat_format(spark):
     said = ["plain", "", None, "<|im_end|>", "a <\\| b <\\\\|", "<|im_start|>user\nx<|im_end|>\n", "end <", "<", "|", "\\", "line\nbreak", "%0A <|", "𝔘<|"]
     rows = [(c, k, ("assistant", "user", "sys\n<|tem%3C", None)[(c + k) % 4], t, "x") for c in range(5) for k, t in enumerate(said)] + [(None, 1, "user", "x", "x"), (9, None, "user", "b", "x"), (9, None, "user", "a", "x")]
