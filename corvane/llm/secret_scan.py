@@ -2,9 +2,9 @@
 
 A pass over whole texts finds the base spans (assign, access, hex) and looser candidates: long mixed tokens. Values leave
 that pass only as SHA-256. Their distinct repositories and owners are counted over the whole corpus in two steps, so a
-value that a third of all rows share meets its counter as one row per owner. Values of `min_owners` owners or more are
-widely copied examples; owner-specific values of enough entropy look live. A loose candidate becomes a span (kind live)
-only if it is owner-specific; base spans always stay.
+value that a third of all rows share meets its counter as one row per owner. Values of `min_owners` owners or more, or of
+`min_repositories` repositories or more whatever their owners, are widely copied examples; other values of enough entropy
+look live. A loose candidate becomes a span (kind live) only if it is no such example; base spans always stay.
 
 Defined cases: a null text is empty; a null owner is an owner of its own; offsets are code points, ends exclusive; repeated
 rows are scanned each for itself; an empty table gives an empty result; other columns are not read.
@@ -80,8 +80,10 @@ def _scan(min_bits: float):
     return run
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, min_owners: int = 3, min_bits: float = 3.0) -> DataFrame:
-    """(doc_id, base, added, n_live, n_example) per row; base and added are arrays of (start, kind, end, value, bits).
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, min_owners: int = 3, min_bits: float = 3.0, min_repositories: int = 10) -> DataFrame:
+    """(doc_id, base, added, n_live, n_example, repositories) per row; base and added are arrays of (start, kind, end, value, bits).
+
+    `repositories` is the largest number of distinct repositories that any value of the row's base spans and candidates has.
 
     `repository_col` names the unit of copying; by default every document is its own.
     """
@@ -92,14 +94,16 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Three partial aggregations: a value copied into a third of all rows is a few rows per task from the first on.
     owned = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     owned = owned.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    live = (F.col("owners") < min_owners) & (F.col("bits") >= min_bits)
+    copied = (F.col("owners") >= min_owners) | (F.col("repositories") >= min_repositories)
+    live = ~copied & (F.col("bits") >= min_bits)
     span = F.struct("start", "kind", "end", "value", "bits")
     told = each.drop("owner", "repository").join(owned, "value").groupBy("row_id").agg(
         F.collect_list(F.when((F.col("kind") == 3) & live, span)).alias("added"),
-        F.count_if((F.col("kind") < 3) & live).alias("n_live"), F.count_if((F.col("kind") < 3) & (F.col("owners") >= min_owners)).alias("n_example"),
+        F.count_if((F.col("kind") < 3) & live).alias("n_live"), F.count_if((F.col("kind") < 3) & copied).alias("n_example"), F.max("repositories").alias("repositories"),
     )
     return found.join(told, "row_id", "left").select(
-        "doc_id", "base", F.coalesce("added", F.array().cast(_DDL_SPAN)).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example")
+        "doc_id", "base", F.coalesce("added", F.array().cast(_DDL_SPAN)).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )
 
 
@@ -109,5 +113,5 @@ def secret_query(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("base")), 256).alias("base_sha256"),
-        named(F.concat("base", "added")).alias("spans"), "n_live", "n_example",
+        named(F.concat("base", "added")).alias("spans"), "n_live", "n_example", "repositories",
     )

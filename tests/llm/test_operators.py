@@ -275,6 +275,18 @@ def test_secret_scan(spark, empty):
     assert secret_scan.secret_query(empty).count() == 0
 
 
+def test_repositories_tell_examples_of_one_owner(spark):
+    loose, base = "x Zk9_qL2mN8pR4tV6wY1b x", "token = 'abcdef123456ABCDEF'"
+    rows = [(i, f"{loose} {base}", "hot") for i in range(12)] + [(20, "x Yk9_qL2mN8pR4tV6wY1c x password=Q7hunter22x9", "hot"), (21, "plain", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in secret_scan.secret_query(docs).collect()}
+    assert all((out[i]["n_live"], out[i]["n_example"], out[i]["repositories"]) == (0, 1, 12) and "live" not in out[i]["spans"] for i in range(12))
+    assert (out[20]["n_live"], out[20]["n_example"], out[20]["repositories"]) == (1, 0, 1) and "live:2:22" in out[20]["spans"]
+    assert out[21]["repositories"] == 0
+    few = {r["doc_id"]: r for r in secret_scan.secret_scan(docs, repository_col="source").collect()}
+    assert all(few[i]["n_live"] == 1 and few[i]["n_example"] == 0 and few[i]["repositories"] == 1 for i in range(12))
+
+
 def test_packing(docs, empty, rows):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
