@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "corvane-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    """The shared folder named by the session in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its
+    own; on a cluster, whose machines would each write to their own disk, that is an error."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = os.path.join(tempfile.gettempdir(), "corvane-checkpoints")
+    context.setCheckpointDir(base)
     return base
 
 
-_written: list[str] = []
+_written: set[str] = set()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +48,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if not _written:
         atexit.register(release)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables whose successors are stored. Each must be what `stored` returned."""
+    for df in tables:
+        _delete(df.sparkSession, df._corvane_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    _written.discard(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release() -> None:
@@ -51,25 +71,39 @@ def release() -> None:
     spark = SparkSession.getActiveSession()
     try:
         while spark is not None and _written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, next(iter(_written)))
     except Exception:  # the JVM may be gone at exit; the folder is then left to the cluster's own clean-up
         _written.clear()
 
 
+def lean(run: Callable) -> Callable:
+    """A batch function after which its worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return lean_run
+
+
 def numbered(df: DataFrame, *order: str, name: str = "row_no") -> tuple[DataFrame, int]:
     """Rows with gapless numbers from 0 in the order of `order`, and their count.
 
-    A range shuffle and a sort within partitions, checkpointed so that the numbers can't move when an executor is lost;
-    only one count per partition comes to the driver. A trailing tie-breaker spreads rows that are equal in all of
+    A range shuffle and a sort within partitions, stored with their places so that the numbers can't move when an executor
+    is lost; only one count per partition comes to the driver. A trailing tie-breaker spreads rows that are equal in all of
     `order`; as such rows are equal in every column used, any order among them gives the same result.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    s = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").checkpoint()
     low = (1 << 33) - 1
-    s = s.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(low)))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    s = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    s = stored(s.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(low))), "numbered")
     counts = sorted((r["_part"], r["n"]) for r in s.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     total, offsets = 0, []
     for part, n in counts:
@@ -103,23 +137,21 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_local: int = 1_000_000) -> DataFrame:
-    """(id, component_id) of every id in an edge: the smallest id reachable.
+    """(id, component_id) of every id in an edge: the smallest id reachable. `edges` should be stored: it is read twice.
 
     Alternating large and small stars on DataFrames: each round joins every edge with the least neighbour of its end, so
     no component is ever gathered in one task; rounds are written to the shared folder until the edge set stands still.
     From the round on in which at most `max_local` edges are left (counted, 16 bytes each), one task joins those at once.
     """
-    now = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    was = mark(now)
+    was, before = mark(now), None
     while was[0]:
         if was[0] <= max_local:
-            return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "id long, component_id long")
+            return now.coalesce(1).mapInArrow(lean(_joined), "id long, component_id long")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -127,6 +159,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_local: int = 1_
         paired = large.join(least, "u")
         small = paired.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(paired.select("u", F.col("m").alias("v")))
         now = stored(small.where("u <> v").distinct(), "edges")
+        if before is not None:
+            discard(before)
+        before = now
         if (is_ := mark(now)) == was:
             break
         was = is_

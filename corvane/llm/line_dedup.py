@@ -2,8 +2,8 @@
 
 Lines are split at line feeds and stripped of white space at their ends; blank ones are left alone. Equal lines share a content
 id. Every distinct line's set of character shingles (six code points) gives a one-permutation MinHash signature, empty bins
-filled by rotation, in 14 bands of 4; lines that agree on a band meet, and the Jaccard similarity of their sets is verified
-exactly (3/4 or more). Distributed union-find joins the links; of each component one line stays, its first in the order of
+filled by rotation, in 14 bands of 4; lines that agree on a band meet, and the Jaccard similarity of their shingle sets is
+verified exactly (3/4 or more). Distributed union-find joins the links; of each component one line stays, its first in the order of
 (doc_id, line number). See linking.py for how bands become components without the pairs of a group.
 
 Two lines of similarity s meet with probability 1 - (1 - s^4)^14: 0.995 at 0.75, 0.9993 at 0.8, 0.99999 at 0.88.
@@ -19,107 +19,55 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from .common import stored
-from .linking import link_components, only, shared_buckets
-from .shingles import char_shingles, common, mix64, powers
+from .common import lean, stored
+from .linking import Likeness, link_components, only
+from .shingles import char_shingles, mix64
 
 _U = np.uint64
 WIDTH, BANDS, ROWS = 6, 14, 4
 _BINS = BANDS * ROWS
+#: Code points of a block of lines; a line's row in it has 20 bits.
 _BLOCK = 1 << 19
 _SEEN = 1_000_000
-#: Signatures are made in runs of so many lines: a line's row has 20 bits.
-_RUN = (1 << 20) - 1
 _STRIP = " \t\n\x0b\x0c\r"
-
-
-class Lines:
-    """The non-blank lines of a block of texts: code points, bounds, owners, numbers and content ids."""
-
-    def __init__(self, texts: list[str]):
-        joined = "\n".join(texts) + "\n"
-        self.points = points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.flatnonzero(points == 10)
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        owner = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
-        first_of = np.searchsorted(owner, owner)
-        solid = np.flatnonzero((points > 32) | (points < 9) | ((points > 13) & (points < 32)))
-        lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
-        ok = lo < hi
-        self.owner, self.number = owner[ok], (np.arange(len(owner)) - first_of)[ok]
-        self.start, self.end = (solid[lo[ok]], solid[hi[ok] - 1] + 1) if ok.any() else (np.zeros(0, np.int64),) * 2
-        self.mixed = mix64(points.astype(_U) + _U(1))
-        self.ids = [self._hash(base) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-
-    def _hash(self, base: int) -> np.ndarray:
-        """64 bits of every line's content: a polynomial over its code points, brought to a common start."""
-        n = len(self.points)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(self.mixed * powers(n, base), out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * powers(n + 1, pow(base, -1, 1 << 64))[self.start] + (self.end - self.start).astype(_U)).view(np.int64)
-
-    def text(self, k: int) -> str:
-        return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Lines]]:
-    """Rows (all but the text) and lines of blocks of bounded size; a longer text is a block of its own."""
-    for batch in batches:
-        rows, texts, size = [], [], 0
-        for *row, text in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-            if text is None:
-                continue
-            rows.append(row)
-            texts.append(text)
-            size += len(text)
-            if size > _BLOCK:
-                yield rows, Lines(texts)
-                rows, texts, size = [], [], 0
-        if rows:
-            yield rows, Lines(texts)
-
-
-_PLACES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32()), ("id", pa.int64()), ("id2", pa.int64())])
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, lines in _blocks(batches):
-        at = lines.owner.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([rows[k][c] for k in at], pa.int64()) for c in (0, 1)] + [pa.array(lines.number, pa.int32()), *map(pa.array, lines.ids)], schema=_PLACES)
-
-
-def signatures(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set sizes, matrix of bin minima) of the chosen lines."""
-    points = lines.mixed
-    runs = max(0, len(points) - WIDTH + 1)
-    rolled = np.zeros(runs, _U)
-    for k in range(WIDTH):
-        rolled += points[k : k + runs] * _U(((2 * k + 3) * 0xA24BAED4963EE407 + 2 * k) & 0xFFFFFFFFFFFFFFFF | 1)
-    rolled = mix64(rolled + _U(WIDTH))
-    start, count = lines.start[which], np.maximum(lines.end[which] - lines.start[which] - WIDTH + 1, 1)
-    row = np.repeat(np.arange(len(which)), count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-    short = np.repeat(lines.end[which] - start < WIDTH, count)
-    values = np.where(short, lines.ids[0][which].view(_U)[row], rolled[np.minimum(at, runs - 1)] if runs else _U(0))
-    packed = np.sort(row.astype(_U) << _U(44) | values >> _U(20))
-    packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
-    row, value = (packed >> _U(44)).astype(np.int64), packed & _U((1 << 44) - 1)
-    sizes = np.bincount(row, minlength=len(which))
-    slot = row * _BINS + (value * _U(_BINS) >> _U(44)).astype(np.int64)
-    head = np.concatenate(([True], slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, bool)
-    flat = np.zeros(len(which) * _BINS, _U)
-    full = np.zeros(len(which) * _BINS, bool)
-    flat[slot[head]], full[slot[head]] = value[head] + _U(1), True
+#: The seed of Spark's xxhash64, so a line has one id in Python and in SQL.
+_SEED = 42
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of bin minima for every line (one-permutation hashing); empty bins take the next full one's value."""
+    lines = [x.ljust(WIDTH, "\0") for x in lines]  # a shorter line is one shingle
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    # Ten bits a code point, exact below 1024: six of them are one number.
+    points = (points ^ (points >> _U(10)) * _U(37)) & _U(1023)
+    two = points[:-1] | points[1:] << _U(10)
+    rolled = two[:-4] | two[2:-2] << _U(20) | two[4:] << _U(40)
+    length = np.array([len(x) for x in lines])
+    count = length - WIDTH + 1
+    row = np.repeat(np.arange(len(lines)), count)
+    value = rolled[np.arange(len(row)) + row * (WIDTH - 1)] * _U(0x9E3779B97F4A7C15)
+    value ^= value >> _U(32)
+    value *= _U(0xD6E8FEB86659FD93)
+    value ^= value >> _U(29)
+    slot = (value >> _U(32)) * _U(_BINS) >> _U(32)
+    packed = np.sort(row.astype(_U) << _U(44) | slot << _U(38) | value & _U((1 << 38) - 1))
+    at = packed >> _U(38)
+    head = np.concatenate(([True], at[1:] != at[:-1]))
+    at = ((at >> _U(6)) * _U(_BINS) + (at & _U(63)))[head].astype(np.int64)
+    flat = np.zeros(len(lines) * _BINS, _U)
+    full = np.zeros(len(lines) * _BINS, bool)
+    flat[at], full[at] = (packed[head] & _U((1 << 38) - 1)) + _U(1), True
     # An empty bin takes the next full one's value, marked with the distance.
     full = full.reshape(-1, _BINS)
-    nxt = np.where(np.concatenate([full, full], axis=1), np.arange(2 * _BINS), 4 * _BINS)
+    nxt = np.where(np.concatenate([full, full], axis=1), np.arange(2 * _BINS, dtype=np.int32), np.int32(4 * _BINS))
     nxt = np.minimum.accumulate(nxt[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
-    step = nxt - np.arange(_BINS)
-    return sizes, np.take_along_axis(flat.reshape(-1, _BINS), nxt % _BINS, axis=1) + step.astype(_U) * _U(0x9E3779B97F4A7C15)
+    step = nxt - np.arange(_BINS, dtype=np.int32)
+    return np.take_along_axis(flat.reshape(-1, _BINS), nxt % _BINS, axis=1) + step.astype(_U) * _U(0x9E3779B97F4A7C15)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -131,74 +79,76 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix64(out + np.arange(1, BANDS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
-def _fresh(lines: Lines, seen: set) -> np.ndarray:
-    """Indexes of lines that this task hasn't keyed yet."""
-    ids, first = np.unique(lines.ids[0], return_index=True)
-    if len(seen) >= _SEEN:
-        seen.clear()  # a line may then be keyed again, which changes nothing
-    new = [k for i, k in zip(ids.tolist(), first.tolist(), strict=True) if i not in seen]
-    seen.update(ids.tolist())
-    return np.array(new, np.int64)
-
-
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, 0) of every line that this task hasn't keyed yet."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
-    seen: set[int] = set()
-    for _, lines in _blocks(batches):
-        new = _fresh(lines, seen)
-        for k in range(0, len(new), _RUN):
-            run = new[k : k + _RUN]
-            sizes, sig = signatures(lines, run)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(np.repeat(lines.ids[0][run], BANDS)), pa.array(np.repeat(sizes.astype(np.int32), BANDS))], schema=schema)
 
+    def keyed(lines: list[str], ids: list[int]) -> pa.RecordBatch:
+        keys = band_keys(signatures(lines))
+        ids = np.repeat(np.array(ids, _U).view(np.int64), BANDS)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(np.zeros(len(ids), np.int32))], schema=schema)
 
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("body", pa.binary())])
     seen: set[int] = set()
-    for _, lines in _blocks(batches):
-        new = _fresh(lines, seen)
-        if len(new):
-            yield pa.RecordBatch.from_arrays([pa.array(lines.ids[0][new]), pa.array([lines.text(k).encode("utf-8", "surrogatepass") for k in new], pa.binary())], schema=schema)
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("body", pa.binary()), ("sketch", pa.binary())])
+    lines, ids, size = [], [], 0
     for batch in batches:
-        sets = [char_shingles(b.as_py(), WIDTH) for b in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), batch.column(1), pa.array([ngram_join.sketch(x) for x in sets], pa.binary())], schema=schema)
-
-
-@lru_cache(4096)
-def _set(line: bytes) -> np.ndarray:
-    """A line's set; pairs of one line come after one another."""
-    return char_shingles(line, WIDTH)
+        for k in range(0, batch.num_rows, 256):
+            for text in batch.column(0).slice(k, 256).to_pylist():
+                for line in (text or "").split("\n"):
+                    line = line.strip(_STRIP)
+                    if not line or (i := xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), _SEED)) in seen:
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()  # a line may then be keyed again, which changes nothing
+                    seen.add(i)
+                    lines.append(line)
+                    ids.append(i)
+                    size += max(len(line), WIDTH)
+                    if size >= _BLOCK:
+                        yield keyed(lines, ids)
+                        lines, ids, size = [], [], 0
+    if lines:
+        yield keyed(lines, ids)
+
+
+def _lines(docs: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, line_no, line) of the non-blank lines of `text`."""
+    each = docs.select(*columns, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.withColumn("line", F.btrim("line", F.lit(_STRIP))).where("line <> ''")
+
+
+@lru_cache(256)
+def _set(line: bytes) -> frozenset:
+    """A line's shingles themselves; pairs of one line come after one another."""
+    text = line.decode("utf-8", "surrogatepass")
+    return frozenset([text[k : k + WIDTH] for k in range(max(1, len(text) - WIDTH + 1))])
 
 
 def linked(x: bytes, y: bytes) -> bool:
     a, b = _set(x), _set(y)
-    both = common(a, b)
+    both = len(a & b)
     return 4 * both >= 3 * (len(a) + len(b) - both) > 0
 
 
+LIKENESS = Likeness(ngram_join.fits, linked, lambda line: char_shingles(line, WIDTH), ngram_join.slack)
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, line_no) of every line that goes; mark is xxhash64 of the text, line_no counts from 0."""
     text = F.col(text_col).cast("string")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    words = slim.select("text")
-    places = stored(slim.mapInArrow(_placed, "doc_id long, mark long, line_no int, id long, id2 long"), "places")
-    shared = stored(shared_buckets(words.mapInArrow(_keyed, "key long, id long, n int")), "shared")
-
-    # A line is short, so its sketch and its text come together, for the lines that share a band only.
-    met = stored(shared.select("id").distinct(), "ids")
-    known = stored(only(words.mapInArrow(_worded, "id long, body binary"), met).mapInArrow(_sketched, "id long, n int, body binary, sketch binary"), "lines")
-    found = link_components(
-        shared, known.select("id", "n", "sketch"), lambda ids: only(known, ids).select("id", "body"),
-        ngram_join.fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, ngram_join.far,
-    )
+    keys = slim.select("text").mapInArrow(lean(_keyed), "key long, id long, n int")
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        every = _lines(slim).select(F.xxhash64("line").alias("id"), F.col("line").cast("binary").alias("body"))
+        # A line that very many rows have is one row per task from the first on.
+        return only(every, ids).dropDuplicates(["id"])
+
+    found = link_components(keys, LIKENESS, bodies)
+    places = stored(_lines(slim, "doc_id", "mark").select("doc_id", "mark", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2")), "places")
     each = places.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count(F.lit(1)).alias("n"))
-    each = each.join(found, "id", "left")
+    each = stored(each.join(found, "id", "left").where("n > 1 or component_id is not null").select("id", "id2", "first", "component_id"), "each")
     heads = each.where("component_id is not null").groupBy("component_id").agg(F.min("first").alias("head"))
-    told = each.where("n > 1 or component_id is not null").join(heads, "component_id", "left").select("id", "id2", F.coalesce("head", "first").alias("head"))
+    told = each.join(heads, "component_id", "left").select("id", "id2", F.coalesce("head", "first").alias("head"))
     return places.join(told, ["id", "id2"]).where("struct(doc_id, line_no, mark) <> head").select("doc_id", "mark", "line_no")
 
 
@@ -213,22 +163,27 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marks(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_corvane_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_corvane_mark")
+
+
+def _told(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`marked`, rows of `docs` with their _marks, with the numbers of the lines that go."""
     gone = duplicate_lines(docs, id_col, text_col).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line_no")).alias("_corvane_gone"))
-    keyed = docs.withColumn("_corvane_id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_corvane_mark", F.xxhash64(F.col(text_col).cast("string")))
     gone = gone.select(F.col("doc_id").alias("_corvane_id"), F.col("mark").alias("_corvane_mark"), "_corvane_gone")
-    return keyed.join(gone, ["_corvane_id", "_corvane_mark"], "left").drop("_corvane_id", "_corvane_mark")
+    return marked.join(gone, ["_corvane_id", "_corvane_mark"], "left").drop("_corvane_id", "_corvane_mark")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with only the kept lines in each text; the columns stay."""
-    return _told(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_without, "string")(F.col(text_col).cast("string"), F.col("_corvane_gone"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _told(docs.select("*", *_marks(docs, id_col, text_col)), docs, id_col, text_col)
+    return out.withColumn(text_col, F.arrow_udf(_without, "string")(F.col(text_col).cast("string"), F.col("_corvane_gone"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the lines that go, per row."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = _told(slim.select("doc_id", "text"), "doc_id", "text")
     n = F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    marked = slim.select("doc_id", n.cast("long").alias("n_lines"), *_marks(slim, "doc_id", "text"))
     gone = F.coalesce("_corvane_gone", F.array().cast("array<int>"))
-    return out.select("doc_id", n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
+    return _told(marked, slim, "doc_id", "text").select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))

@@ -1,144 +1,213 @@
 """From buckets that candidates share to verified links and components, without emitting the pairs of a group.
 
-Every true link shares at least one bucket (exactly or with high probability, as the operator's keys provide). Two steps
-decide all of them up to connectivity:
-
-1. three times over, every member is verified against the one centre, among those of its buckets that lie in another component,
-   that it meets most often; links join components; each time other members are the centres;
-2. of buckets that still hold several components, only pairs across components are formed, inside the task that streams
-   the bucket, and only those that pass a bound on compact sketches leave it for verification.
-
-A pair inside one component needs no test for the component; every other pair that shares a bucket has been tested. A
-group of near copies is therefore settled by its stars, in as many rows as it has members.
+Every true link shares at least one bucket (exactly or with high probability, as the operator's keys provide). All of them are
+decided, up to connectivity, in rows that grow with the rows of the buckets:
+
+1. a bucket of fewer than `SMALL` ids gives its pairs, at most (SMALL - 2) / 2 a row; these are made distinct and verified;
+2. of larger buckets that hold several components, every member is verified against the centre, in another component, that
+   it meets most often; twice, with other centres;
+3. buckets that are still mixed are compared inside tasks: rows stay that are in a pair of different components which small
+   parity sketches of the sets don't rule out; of these, a pair that fine sketches let pass is proposed only if it joins what
+   the bucket has not joined yet (a spanning forest, so at most a row a member), and verified;
+4. members of pairs that pass the fine sketches even now get their sets, and the same forest is built on exact similarities.
+
+A pair inside one component needs no test; any other pair that shares a bucket has been tested. A group of near copies is
+settled by its stars, in as many rows as it has members. Buckets beyond `TILE` rows are dealt in tiles, members of
+the largest component against all others and others among themselves, so a task holds two blocks of TILE rows at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, lean, stored
+
+#: Buckets of fewer ids are expanded into pairs: a constant number a row.
+SMALL = 8
+#: Rows of a block of a large bucket.
+TILE = 1024
+_STEP = 512
+_TURNS = 2
+_U = np.uint64
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """What an operator knows of its candidates. A body is the bytes from which the set of a candidate is made."""
+
+    #: Whether two set sizes can be linked (arrays).
+    fits: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    #: Whether two bodies are linked, exactly.
+    linked: Callable[[bytes, bytes], bool]
+    #: The sorted hash set of a body.
+    members: Callable[[bytes], np.ndarray]
+    #: Greatest symmetric difference that a link of two sizes allows (arrays).
+    slack: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def sketch(found: np.ndarray, bits_each: int = 1, most: int = 1 << 16) -> bytes:
+    """A dense parity sketch: every member toggles one bit of a power of two of bits, bits_each to twice that a member."""
+    bits = min(most, max(64, 1 << (bits_each * max(len(found), 1) - 1).bit_length()))
+    odd = np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of `width` bytes; larger ones are folded by XOR, which keeps the bound."""
+    out = np.zeros((len(sketches), width), np.uint8)
+    for k, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint8)
+        out[k] = x if len(x) == width else np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
+    return out.view(_U)
 
-_TILE = 256
-_TURNS = 3
+
+def _apart(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows p of x and rows q of y, in bounded memory."""
+    out = np.zeros(len(p), np.int64)
+    step = max(1, (1 << 19) // x.shape[1])
+    for k in range(0, len(p), step):
+        out[k : k + step] = np.bitwise_count(x[p[k : k + step]] ^ y[q[k : k + step]]).sum(1, dtype=np.int64)
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables whose rows are whole runs of the first column, which must be sorted."""
-    held = None
+    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
-        if held is not None:
-            now = pa.concat_tables([held, now]).combine_chunks()
         key = now.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on
+        cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0  # the last run may go on
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
         if cut:
-            yield now.slice(0, cut)
-        held = now.slice(cut).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held
+            yield pa.concat_tables([*held, now.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(now.slice(cut))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
-_SHARED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("center", pa.int64()), ("center_n", pa.int32())])
+def _heads(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that several ids have, each with the key's first id; streams, holding no run."""
-    carry = None  # (key, first id, its n, whether a second id came, whether the first row is out)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids, n = (batch.column(k).to_numpy() for k in range(3))
-        if carry is not None and carry[0] == key[0]:
-            key, ids, n = np.append(carry[0], key), np.append(carry[1], ids), np.append(carry[2], n)
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        c, cn = ids[first][run], n[first][run]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
-        other = fresh & (ids != c)
-        many = np.zeros(len(first), bool)
-        many[run[other]] = True
-        if carry is not None and carry[0] == key[0] and carry[3]:
-            many[0] = True
-        keep = other.copy()
-        heads = first[many]
-        if carry is not None and carry[0] == key[0] and carry[3]:
-            heads = heads[heads != 0]
-        keep[heads] = True
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, n.astype(np.int32), c, cn.astype(np.int32))], schema=_SHARED)
-        carry = (key[-1], c[-1], cn[-1], bool(many[-1]))
-
-
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, n, center, center_n) of the keys (key long, id long, n int) that at least two ids have."""
-    dealt = keys.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(_shared, "key long, id long, n int, center long, center_n int")
-
-
-def _across(fits: Callable, far: Callable):
-    """Pairs of different components inside a bucket that `fits` (sizes) and not `far` by their sketches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+
+
+def _split(fits: Callable, small: int):
+    """Of sorted (key, id, n): pairs (null, a, b, null) of small buckets, rows (key, id, null, n) of larger ones; single ids go.
+
+    Runs stream: of a bucket that is already known to be large nothing is held.
+    """
+
+    def pairs(ids: np.ndarray, n: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        left, right = [], []
+        for m in np.unique(size):
+            at = first[size == m][:, None]
+            i, j = np.triu_indices(int(m), 1)
+            left.append((at + i).ravel())
+            right.append((at + j).ravel())
+        p, q = np.concatenate(left), np.concatenate(right)
+        ok = fits(n[p], n[q])
+        a, b = ids[p[ok]], ids[q[ok]]
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int32())], schema=_MET)
+
+    def rows(key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(n.astype(np.int32))], schema=_MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            key, ids, n, comp = (t.column(k).to_numpy() for k in range(4))
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-                if (comp[lo:hi] == comp[lo]).all():
+        held = None  # the rows of the last run so far
+        large = None  # the last run's key, if its first rows are out
+        seen: set[int] = set()  # its ids that are out
+        for batch in _closed(batches):
+            done = batch is None
+            key, ids, n = (batch.column(k).to_numpy() for k in range(3)) if not done else (np.zeros(0, np.int64),) * 3
+            if large is not None and not done:
+                upto = int(np.searchsorted(key, large, side="right"))
+                more, at = np.unique(ids[:upto], return_index=True)
+                new = at[[i not in seen for i in more.tolist()]] if upto else at
+                if len(new):
+                    yield rows(key[new], ids[new], n[new])
+                    if len(seen) < 1_000_000:  # beyond that an id may come twice, which changes nothing
+                        seen.update(more.tolist())
+                if upto == len(key):
                     continue
-                sketches = t.column(4).slice(lo, hi - lo).to_pylist()
-                for x in range(lo, hi, _TILE):
-                    for y in range(x, hi, _TILE):
-                        i, j = np.arange(x, min(x + _TILE, hi)), np.arange(y, min(y + _TILE, hi))
-                        ok = (comp[i][:, None] != comp[j][None]) & fits(n[i][:, None], n[j][None])
-                        if x == y:
-                            ok &= i[:, None] < j[None]
-                        p, q = np.nonzero(ok)
-                        if len(p):
-                            near = ~far([sketches[k - lo] for k in i], [sketches[k - lo] for k in j], n[i], n[j], p, q)
-                            p, q = p[near], q[near]
-                        if len(p):
-                            a, b = ids[i[p]], ids[j[q]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                key, ids, n = key[upto:], ids[upto:], n[upto:]
+                large, seen = None, set()
+            if held is not None:
+                key, ids, n = (np.concatenate(x) for x in zip(held, (key, ids, n), strict=True))
+                held = None
+            if not len(key):
+                continue
+            # Keys of one row go, but the last, which may go on; equal (key, id) rows are one.
+            same = key[1:] == key[:-1]
+            keep = np.concatenate((same, [not done])) | np.concatenate(([False], same))
+            key, ids, n = key[keep], ids[keep], n[keep]
+            if not len(key):
+                continue
+            order = np.lexsort((ids, key))
+            key, ids, n = key[order], ids[order], n[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+            key, ids, n = key[fresh], ids[fresh], n[fresh]
+            first = _heads(key)
+            size = np.diff(np.append(first, len(key)))
+            if not done and size[-1] < small:
+                cut = int(first[-1])
+                held = (key[cut:], ids[cut:], n[cut:])
+                first, size = first[:-1], size[:-1]
+            elif not done:
+                large, seen = key[-1], set(ids[first[-1] :].tolist())
+            few, many = (size > 1) & (size < small), size >= small
+            if few.any():
+                yield pairs(ids, n, first[few], size[few])
+            if many.any():
+                at = np.repeat(first[many], size[many]) + (np.arange(int(size[many].sum())) - np.repeat(np.cumsum(size[many]) - size[many], size[many]))
+                yield rows(key[at], ids[at], n[at])
 
     return run
 
 
-def _centred(fits: Callable):
-    """(id, center): of every bucket of several components its first member, for the members of other components that fit."""
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, and None at their end."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, center): of every bucket its first member, for the members of other components. Sorted by key."""
     schema = pa.schema([("id", pa.int64()), ("center", pa.int64())])
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids, comp = (batch.column(k).to_numpy() for k in range(3))
+        if last is not None and last[0] == key[0]:
+            key, ids, comp = (np.append(x, y) for x, y in zip(last, (key, ids, comp), strict=True))
+        first = _heads(key)
+        of = np.repeat(first, np.diff(np.append(first, len(key))))
+        ok = comp != comp[of]
+        last = tuple(x[first[-1]] for x in (key, ids, comp))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(ids[of][ok])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids, n, comp = (batch.column(k).to_numpy() for k in range(4))
-            if last is not None and last[0] == key[0]:
-                key, ids, n, comp = (np.append(x, y) for x, y in zip(last, (key, ids, n, comp), strict=True))
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            of = np.repeat(first, np.diff(np.append(first, len(key))))
-            ok = (comp != comp[of]) & fits(n, n[of])
-            last = tuple(x[first[-1]] for x in (key, ids, n, comp))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(ids[of][ok])], schema=schema)
 
-    return run
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verified(linked: Callable[[bytes, bytes], bool]):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array([linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(keep)
 
     return run
 
@@ -147,12 +216,11 @@ def verify(pairs: DataFrame, bodies: DataFrame, linked: Callable[[bytes, bytes],
     """The pairs (a, b) whose bodies (id, body binary) are linked."""
     one = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("_x")), "a")
     both = one.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("_y")), "b")
-    return both.select("a", "b", "_x", "_y").mapInArrow(_verified(linked), "a long, b long")
+    return both.select("a", "b", "_x", "_y").mapInArrow(lean(_verified(linked)), "a long, b long")
 
 
-def _close(far: Callable):
+def _close(slack: Callable):
     """Pairs (a, b, n, m, sketch, sketch) that the sketches don't rule out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,17 +230,167 @@ def _close(far: Callable):
             keep = np.zeros(batch.num_rows, bool)
             for w in np.unique(width):
                 at = np.flatnonzero(width == w)
-                same = np.arange(len(at))
-                keep[at] = ~far([left[k] for k in at], [right[k] for k in at], n[at], m[at], same, same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep))
+                for k in range(0, len(at), 1000):
+                    part = at[k : k + 1000]
+                    same = np.arange(len(part))
+                    keep[part] = _apart(folded([left[i] for i in part], int(w)), folded([right[i] for i in part], int(w)), same, same) <= slack(n[part], m[part])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep))
 
     return run
 
 
-def close_pairs(pairs: DataFrame, sketches: DataFrame, far: Callable) -> DataFrame:
+def close_pairs(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) that the sketches (id, n, sketch) don't rule out."""
     one = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_x")), "a")
     both = one.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_y")), "b")
-    return both.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(_close(far), "a long, b long").distinct()
+    both = both.where("4 * least(_n, _m) >= 3 * greatest(_n, _m)")
+    return both.select("a", "b", "_n", "_m", "_x", "_y").mapInArrow(lean(_close(like.slack)), "a long, b long")
+
+
+def _passing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[bytes], like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components, of sides that are to be compared, that sizes and sketches let pass; in tiles.
+
+    `comp` may change between tiles: what the caller has joined meanwhile is left out.
+    """
+    width = np.array([len(s) for s in sketches])
+    for w in np.unique(width).tolist():
+        mine, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        # Sketch widths double with the sizes, so sets of widths further apart differ too much in size.
+        for a in range(0, len(mine), _STEP):
+            i = mine[a : a + _STEP]
+            x = folded([sketches[k] for k in i], w)
+            for others in (mine[a:], twice):
+                for b in range(0, len(others), _STEP):
+                    j = others[b : b + _STEP]
+                    ok = (comp[i][:, None] != comp[j][None]) & ((side[i][:, None] != side[j][None]) | (side[i] == 2)[:, None])
+                    if not ok.any():
+                        continue
+                    ok &= like.fits(n[i][:, None], n[j][None])
+                    if others is not twice and b == 0:
+                        ok &= i[:, None] < j[None]
+                    p, q = np.nonzero(ok)
+                    if not len(p):
+                        continue
+                    near = _apart(x, folded([sketches[k] for k in j], w), p, q) <= like.slack(n[i[p]], n[j[q]])
+                    if near.any():
+                        yield i[p[near]], j[q[near]]
+
+
+def _forest(comp: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those that join components (a spanning forest); comp is changed to what they join."""
+    left, right = [], []
+    while True:
+        x, y = comp[p], comp[q]
+        open_ = x != y
+        if not open_.any():
+            break
+        p, q, x, y = p[open_], q[open_], x[open_], y[open_]
+        # Every component hooks to one smaller component, so no cycle arises.
+        _, at = np.unique(np.maximum(x, y), return_index=True)
+        left.append(p[at])
+        right.append(q[at])
+        top, low = np.maximum(x, y)[at], np.minimum(x, y)[at]
+        while True:
+            k = np.searchsorted(top, low)
+            k[k == len(top)] = 0
+            again = top[k] == low
+            if not again.any():
+                break
+            low = np.where(again, low[k], low)
+        k = np.searchsorted(top, comp)
+        k[k == len(top)] = 0
+        comp[:] = np.where(top[k] == comp, low[k], comp)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _proposed(like: Likeness):
+    """Of tiles (key, id, side, comp, n, sketch): the pairs (a, b) of a spanning forest of what the sketches let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            key, ids, side, comp, n = (t.column(k).to_numpy() for k in range(5))
+            first = _heads(key)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                now = comp[lo:hi].copy()
+                if (now == now[0]).all():
+                    continue
+                for p, q in _passing(now, side[lo:hi], n[lo:hi], t.column(5).slice(lo, hi - lo).to_pylist(), like):
+                    p, q = _forest(now, p, q)
+                    if len(p):
+                        a, b = ids[lo + p], ids[lo + q]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
+
+    return run
+
+
+def _contested(like: Likeness):
+    """Of the same tiles: the rows (key, id, side, comp) that are in a pair which the sketches let pass."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("side", pa.int32()), ("comp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            key, ids, side, comp, n = (t.column(k).to_numpy() for k in range(5))
+            first, hit = _heads(key), np.zeros(len(key), bool)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                if (comp[lo:hi] != comp[lo]).any():
+                    for p, q in _passing(comp[lo:hi], side[lo:hi], n[lo:hi], t.column(5).slice(lo, hi - lo).to_pylist(), like):
+                        hit[lo + p] = hit[lo + q] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(ids[hit]), pa.array(side[hit].astype(np.int32)), pa.array(comp[hit])], schema=schema)
+
+    return run
+
+
+def _settled(like: Likeness, bits_each: int):
+    """Of tiles (key, id, side, comp, body): the links (a, b) of a spanning forest of exact similarities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            key, ids, side, comp = (t.column(k).to_numpy() for k in range(4))
+            first = _heads(key)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                bodies = t.column(4).slice(lo, hi - lo)
+                n, sketches = [], []
+                for b in bodies:
+                    found = like.members(b.as_py())
+                    n.append(len(found))
+                    sketches.append(sketch(found, bits_each))
+                now, out = comp[lo:hi].copy(), []
+                for p, q in _passing(now, side[lo:hi], np.array(n), sketches, like):
+                    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                        if now[i] != now[j] and like.linked(bodies[i].as_py(), bodies[j].as_py()):
+                            now[now == max(now[i], now[j])] = min(now[i], now[j])
+                            out.append((min(ids[lo + i], ids[lo + j]), max(ids[lo + i], ids[lo + j])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_PAIR)
+
+    return run
+
+
+def _mixed(of: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(key, id, comp, main, n_main, n_all): the rows of buckets that hold several components; main is the largest."""
+    now = of.select("key", "id")
+    now = now.withColumn("comp", F.col("id")) if found is None else now.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
+    each = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    told = each.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all"))
+    return stored(now.join(told.where("n_all > n_main"), "key"), "mixed")
+
+
+def _tiles(mixed: DataFrame, tile: int) -> DataFrame:
+    """(key, id, side, comp): rows of mixed buckets once for every tile in which they are compared.
+
+    Pairs of a tile are compared whose sides differ, or both are 2. The largest component's blocks meet every block of
+    the others; the others' blocks meet each other.
+    """
+    most = mixed.withColumn("nm", F.ceil(F.col("n_main") / tile).cast("int")).withColumn("no", F.ceil((F.col("n_all") - F.col("n_main")) / tile).cast("int"))
+    at = most.withColumn("own", F.col("comp") == F.col("main")).withColumn("blk", F.expr("cast(pmod(xxhash64(id), if(own, nm, no)) as int)"))
+    spots = F.expr(
+        "if(own, transform(sequence(0, no - 1), j -> struct(xxhash64(key, blk, j) as k, 0 as side)),"
+        " concat(transform(sequence(0, nm - 1), i -> struct(xxhash64(key, i, blk) as k, if(i = 0, 2, 1) as side)),"
+        " transform(filter(sequence(0, no - 1), x -> x <> blk), x -> struct(xxhash64(key, nm + least(x, blk), greatest(x, blk)) as k, if(blk < x, 0, 1) as side))))"
+    )
+    return at.select("id", "comp", F.explode(spots).alias("s")).select(F.col("s.k").alias("key"), "id", F.col("s.side").alias("side"), "comp")
 
 
 def only(rows: DataFrame, ids: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -180,49 +398,98 @@ def only(rows: DataFrame, ids: DataFrame, max_broadcast: int = 1_000_000) -> Dat
     return rows.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, "id", "left_semi")
 
 
-def _ids(pairs: DataFrame, name: str) -> DataFrame:
-    return stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), name)
+def _ids(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
 
-def link_components(shared: DataFrame, sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame], fits: Callable, fits_sql: str, linked: Callable[[bytes, bytes], bool], far: Callable, known: DataFrame | None = None) -> DataFrame:
-    """(id, component_id) of everything that is linked.
+def _fine(like: Likeness, bits_each: int):
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 
-    shared: stored rows of shared_buckets. sketches: stored (id, n, sketch), rows of shared ids at least. bodies: gives
-    (id, body) for a stored frame of ids. fits and fits_sql say the same of two sizes (n and center_n in SQL). known: links
-    (a, b) that hold already.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sketches = [], []
+            for body in batch.column(1):
+                found = like.members(body.as_py())
+                n.append(len(found))
+                sketches.append(sketch(found, bits_each))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sketches, pa.binary())], schema=schema)
+
+    return run
+
+
+def link_components(keys: DataFrame, like: Likeness, bodies: Callable[[DataFrame], DataFrame], coarse: DataFrame | None = None, small: int = SMALL, tile: int = TILE, bits_each: int = 16) -> DataFrame:
+    """(id, component_id) of everything that is linked; component_id is the smallest id reachable.
+
+    keys: (key, id, n) with n the set size, or 0 where it isn't known yet. bodies: gives (id, body) for a stored frame of
+    ids. coarse: stored (id, n, sketch), to rule out pairs before their bodies are read.
     """
-    links, found, first = known, None, None
-    of = shared.select("key", "id", "n").withColumn("comp", F.col("id"))
+    dealt = keys.repartition("key").sortWithinPartitions("key")
+    met = stored(dealt.mapInArrow(lean(_split(like.fits, small)), "key long, a long, b long, n int"), "met")
+    links: list[DataFrame] = []
+    if coarse is None:  # nothing rules out a pair before its bodies are read, so those of all ids that met are
+        ids = met.select(F.col("a").alias("id")).unionByName(met.where("b is not null").select(F.col("b").alias("id"))).distinct()
+        every = stored(bodies(stored(ids, "ids")), "bodies")
+        bodies = lambda ids: only(every, ids)
+
+    def check(pairs: DataFrame, sketches: DataFrame | None) -> None:
+        if sketches is not None:
+            pairs = close_pairs(pairs, sketches, like)
+        pairs = stored(pairs, "pairs")
+        named = _ids(pairs)
+        read = stored(bodies(named), "bodies")
+        links.append(stored(verify(pairs, read, like.linked), "links"))
+        discard(pairs, named, read)
+
+    def joined() -> DataFrame:
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        return stored(components(every), "comp")
+
+    check(met.where("b is not null").select("a", "b").distinct(), coarse)
+    found = joined()
+    of = met.where("b is null").select("key", F.col("a").alias("id"))
+    mixed = _mixed(of, found)
+    discard(met)
     for turn in range(_TURNS):
-        # One star edge per id, to the centre that it shares most buckets with: as many rows as ids.
-        if turn == 0:
-            met = shared.where(f"id <> center and {fits_sql}").select("id", "center")
-        else:
-            met = of.repartition("key").sortWithinPartitions("key", F.xxhash64("id", F.lit(turn))).mapInArrow(_centred(fits), "id long, center long")
-        votes = met.groupBy("id", "center").agg(F.count(F.lit(1)).alias("votes"))
-        stars = votes.groupBy("id").agg(F.max_by("center", F.struct("votes", (-F.col("center")).alias("o"))).alias("b")).select(F.col("id").alias("a"), "b")
-        stars = stored(close_pairs(stars, sketches, far), "stars")
-        fresh = _ids(stars, "ids")
-        if first is not None:
-            fresh = stored(fresh.join(first.select("id"), "id", "left_anti"), "ids")
-        read = stored(bodies(fresh), "bodies")
-        first = read if first is None else first.unionByName(read)
-        new = verify(stars, first, linked)
-        links = stored(new if links is None else links.unionByName(new), "links")
-        found = stored(components(links), "comp")
-        # Buckets that lie in one component are settled and go.
-        of = of.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-        mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        of = stored(of.join(mixed, "key").select("key", "id", "n", "comp").distinct(), "mixed")
-    left = of.join(sketches.select("id", "sketch"), "id")
-    columns = ["key", "id", "n", "comp", "sketch"]
-    pairs = left.select(*columns).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across(fits, far), "a long, b long").distinct()
-    pairs = stored(pairs, "pairs")
-    if pairs.limit(1).count() == 0:
+        if mixed.limit(1).count() == 0:
+            return found
+        dealt = mixed.select("key", "id", "comp").repartition("key").sortWithinPartitions("key", F.xxhash64("id", F.lit(turn)))
+        votes = dealt.mapInArrow(lean(_centred), "id long, center long").groupBy("id", "center").agg(F.count(F.lit(1)).alias("votes"))
+        stars = votes.groupBy("id").agg(F.max_by("center", F.struct("votes", (-F.col("center")).alias("o"))).alias("b"))
+        check(stars.select(F.col("id").alias("a"), "b"), coarse)
+        was = found, mixed
+        found = joined()
+        mixed = _mixed(mixed, found)
+        discard(*was)
+    if mixed.limit(1).count() == 0:
         return found
-    new = stored(_ids(pairs, "ids").join(first.select("id"), "id", "left_anti"), "ids")
-    both = first.unionByName(stored(bodies(new), "bodies"))
-    more = stored(verify(pairs, both, linked), "links")
-    if more.limit(1).count() == 0:
+
+    def compared(rows: DataFrame, sketches: DataFrame, kernel: Callable, ddl: str) -> DataFrame:
+        rows = rows.join(sketches, "id").select("key", "id", "side", "comp", "n", "sketch")
+        return rows.repartition("key").sortWithinPartitions("key", "comp").mapInArrow(lean(kernel(like)), ddl)
+
+    ddl = "key long, id long, side int, comp long"
+    named = stored(mixed.select("id").distinct(), "ids")
+    if coarse is None:
+        coarse = stored(bodies(named).mapInArrow(lean(_fine(like, 1)), "id long, n int, sketch binary"), "sketches")
+    # Small sketches leave few rows; those get sketches that hardly let a pair pass that isn't linked.
+    near = stored(compared(_tiles(mixed, tile), coarse, _contested, ddl), "near")
+    discard(mixed, named)
+    named = stored(near.select("id").distinct(), "ids")
+    fine = stored(bodies(named).mapInArrow(lean(_fine(like, bits_each)), "id long, n int, sketch binary"), "sketches")
+    proposed = stored(compared(near, fine, _proposed, "a long, b long").distinct(), "proposed")
+    check(proposed, None)
+    was = found
+    found = joined()
+    discard(was)
+    now = near.drop("comp").join(found, "id", "left").select("key", "id", "side", F.coalesce("component_id", "id").alias("comp"))
+    rest = stored(compared(now, fine, _contested, ddl), "contested")
+    discard(near, fine, named, proposed)
+    if rest.limit(1).count() == 0:
         return found
-    return components(links.unionByName(more))
+    named = stored(rest.select("id").distinct(), "ids")
+    sets = rest.join(stored(bodies(named), "bodies"), "id").select("key", "id", "side", "comp", "body")
+    links.append(stored(sets.repartition("key").sortWithinPartitions("key", "comp").mapInArrow(lean(_settled(like, bits_each)), "a long, b long"), "links"))
+    discard(named, rest)
+    return joined()

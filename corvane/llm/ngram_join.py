@@ -14,11 +14,11 @@ set that then lacks pieces with shingles for the pigeonhole, for any partner siz
 more by its whole set, and if that lacks some too, by its empty pieces as well; of two linked sets either one has enough for
 the other, or both are keyed so. Which shingles are left out changes the cost, never a result: the join is exact.
 
-Sets with equal fingerprints (128 bits of the sorted set) are one class before anything is keyed; each input partition keys
-a class once. See linking.py for how buckets become components without the pairs of a group.
+Documents with equal sets (64 bits of the sorted set) are one class: keys, buckets and links know classes only, so copies cost
+nothing there. See linking.py for how buckets become components without the pairs of a group.
 
 Defined cases: texts without words are empty and linked with nothing, null texts too; rows with a null doc_id are not compared
-and have no component; rows of one doc_id are one document and share its links; an empty table gives an empty result; other
+and have no component; every row is a document of its own, so rows of one doc_id share links only if their texts do; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -29,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .linking import link_components, only, shared_buckets
+from .common import SPACE, lean, stored
+from .linking import Likeness, link_components, sketch
 from .shingles import common, mix64, shingle_sets
 
 _U = np.uint64
 _SEEN = 1_000_000
+#: Up to so many classes (16 bytes each) are broadcast to find their texts, more are shuffled.
+_BROADCAST = 1_000_000
 #: A shingle that so many different sets of a batch share is counted over the corpus.
 _OFTEN = 4
 
@@ -108,16 +110,19 @@ def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == x
 
 
-def fingerprint(found: np.ndarray) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+def class_of(found: np.ndarray) -> int:
+    """64 bits of the sorted set: documents with equal sets are one class."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+_OFTEN_TYPE = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, fingerprint and sketch of every text's set; on each batch's last row the batch's frequent shingles."""
-    often = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("sketch", pa.binary()), ("often", often)])
+    """Size, class and sketch of every text's set; on each batch's last row the batch's frequent shingles."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary()), ("mark", pa.int64()), ("often", _OFTEN_TYPE)])
     for batch in batches:
-        n, marks, sketches, seen, sets, counted = [], [], [], set(), [], []
+        n, classes, sketches, seen, sets, counted = [], [], [], set(), [], []
         held = 0
 
         def count() -> None:
@@ -128,23 +133,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for found in shingle_sets(batch.column(1)):
             n.append(len(found))
-            marks.append(fingerprint(found) if len(found) else None)
+            classes.append(class_of(found) if len(found) else None)
             sketches.append(sketch(found))
-            if marks[-1] is not None and marks[-1] not in seen:
-                seen.add(marks[-1])
+            if classes[-1] is not None and classes[-1] not in seen:
+                seen.add(classes[-1])
                 sets.append(found)
                 held += len(found)
                 if held > 1_000_000:
                     count()
                     held = 0
         count()
-        extra = [{"shingle": int(v), "n": int(k)} for values, times in counted for v, k in zip(values.view(np.int64), times, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.binary()), pa.array([None] * (len(n) - 1) + [extra] if n else [], often)], schema=schema
-        )
+        none = np.zeros(0, _U)
+        each = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *(v for v, _ in counted)]).view(np.int64)), pa.array(np.concatenate([none, *(t for _, t in counted)]).astype(np.int64))], ["shingle", "n"])
+        ends = np.zeros(len(n) + 1, np.int32)
+        ends[-1] = len(each)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()), batch.column(2), pa.ListArray.from_arrays(ends, each)], schema=schema)
 
 
 def _keyed(common_ones: np.ndarray):
+    """(key, class, n) of every class that this task hasn't keyed yet."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
 
     def rows(keys: list, owner: list, size: list) -> pa.RecordBatch:
@@ -152,17 +159,17 @@ def _keyed(common_ones: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), n)), pa.array(np.repeat(np.array(size, np.int32), n))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             keys, owner, size, held = [], [], [], 0
             for i, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if i is None or len(found) < 3 or (mark := fingerprint(found)) in seen:
+                if i is None or len(found) < 3 or (mark := class_of(found)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()  # a class may then be keyed again, which changes nothing
                 seen.add(mark)
                 keys.append(keys_of(found, common_ones))
-                owner.append(i)
+                owner.append(mark)
                 size.append(len(found))
                 held += len(keys[-1])
                 if held > 200_000:
@@ -174,31 +181,9 @@ def _keyed(common_ones: np.ndarray):
     return run
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """A dense parity sketch of one to two bits a shingle, 64 to 65536 bits."""
-    bits = min(65536, max(64, 1 << max(len(found) - 1, 0).bit_length()))
-    odd = np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _fold(sketches: list[bytes], width: int) -> np.ndarray:
-    """Sketches as rows of `width` bytes; larger ones are folded by XOR, which keeps the bound."""
-    out = np.zeros((len(sketches), width), np.uint8)
-    for k, s in enumerate(sketches):
-        x = np.frombuffer(s, np.uint8)
-        out[k] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
-    return out.view(_U)
-
-
-def far(left: list[bytes], right: list[bytes], n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sketches differ in more bits than a link of these sizes allows."""
-    width = min(min(map(len, left)), min(map(len, right)))
-    x, y = _fold(left, width), _fold(right, width)
-    out = np.zeros(len(p), bool)
-    for k in range(0, len(p), 8192):
-        a, b = p[k : k + 8192], q[k : k + 8192]
-        out[k : k + 8192] = np.bitwise_count(x[a] ^ y[b]).sum(1, dtype=np.int64) > (n[a].astype(np.int64) + m[b]) // 7
-    return out
+def slack(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The greatest symmetric difference of linked sets of these sizes."""
+    return (n.astype(np.int64) + m) // 7
 
 
 def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,26 +197,60 @@ def linked(x: bytes, y: bytes) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both) > 0
 
 
+LIKENESS = Likeness(fits, linked, lambda body: np.frombuffer(body, _U), slack)
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, set) of texts; of rows that share a doc_id but not a text only those of the class that is asked for."""
     schema = pa.schema([("id", pa.int64()), ("body", pa.binary())])
     for whole in batches:
-        for k in range(0, whole.num_rows, 1000):
-            batch = whole.slice(k, 1000)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], schema=schema)
+        for k in range(0, whole.num_rows, 500):
+            batch = whole.slice(k, 500)
+            found = list(shingle_sets(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() if class_of(x) == c else None for x, c in zip(found, batch.column(0).to_pylist(), strict=True)], pa.binary())], schema=schema)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id. `max_common` bounds the broadcast of common shingles."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(slim.mapInArrow(_measure, "id long, n long, mark binary, sketch binary, often array<struct<shingle:long,n:long>>"), "sets")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_common: int) -> DataFrame:
+    """(id, mark, n, component_id, grp) of every row; mark is xxhash64 of the text, grp tells groups of linked rows apart."""
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    sets = stored(slim.mapInArrow(lean(_measure), "id long, n long, class long, sketch binary, mark long, often array<struct<shingle:long,n:long>>"), "sets")
     often = sets.select(F.explode("often").alias("o")).groupBy("o.shingle").agg(F.sum("o.n").alias("n")).where(F.col("n") >= 4 * _OFTEN)
     often = often.orderBy(F.desc("n"), "shingle").limit(max_common).select("shingle").toArrow().column(0).to_numpy().astype(np.int64)
     named = sets.where("id is not null and n > 0")
-    least = named.groupBy("n", "mark").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").drop("top")
-    same = named.join(least, ["n", "mark"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    shared = stored(shared_buckets(slim.mapInArrow(_keyed(np.sort(often.view(_U))), "key long, id long, n int")), "shared")
-    found = link_components(
-        shared, named.select("id", F.col("n").cast("int").alias("n"), "sketch"), lambda ids: only(slim, ids).mapInArrow(_bodies, "id long, body binary"),
-        fits, "4 * least(n, center_n) >= 3 * greatest(n, center_n)", linked, far, same,
-    )
-    return sets.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    classes = named.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes, "classes")
+    repeated = named.groupBy("class", "id").count().where("count > 1").limit(1).count() > 0
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        asked = classes.select(F.col("class").alias("id"), "rep").join(ids, "id").select(F.col("rep").alias("id"), F.col("id").alias("class"))
+        asked = F.broadcast(asked) if ids.count() <= _BROADCAST else asked
+        found = slim.join(asked, "id").select("class", "text").mapInArrow(lean(_bodies), "id long, body binary").where("body is not null")
+        return found.dropDuplicates(["id"]) if repeated else found
+
+    keys = slim.select("id", "text").mapInArrow(lean(_keyed(np.sort(often.view(_U)))), "key long, id long, n int")
+    found = link_components(keys, LIKENESS, bodies, classes.select(F.col("class").alias("id"), "n", "sketch"))
+    told = classes.select("class", "rep").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("grp", F.coalesce("component_id", "class"))
+    heads = told.groupBy("grp").agg(F.min("rep").alias("head"))
+    told = told.join(heads, "grp").select("class", "grp", "head")
+    return sets.join(told, "class", "left").select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.coalesce("head", "id")).alias("component_id"), "grp")
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id. `max_common` bounds the broadcast of common shingles."""
+    return _grouped(docs, id_col, text_col, max_common).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_common: int = 500_000) -> DataFrame:
+    """`docs` with one row of every group of linked rows, that with the smallest id (then the smallest hash of the text).
+
+    Rows that agree in id and text are one; rows without words or without an id are linked with nothing and stay.
+    """
+    heads = _grouped(docs, id_col, text_col, max_common).where("grp is not null").groupBy("grp").agg(F.min(F.struct("id", "mark")).alias("h"))
+    heads = heads.select(F.col("h.id").alias("_corvane_id"), F.col("h.mark").alias("_corvane_mark"))
+    text = F.col(text_col).cast("string")
+    marked = docs.select("*", F.col(id_col).cast("long").alias("_corvane_id"), F.xxhash64(text).alias("_corvane_mark"), F.coalesce(F.col("_corvane_id").isNotNull() & text.rlike(f"[^{SPACE}]"), F.lit(False)).alias("_corvane_set"))
+    at = Window.partitionBy("_corvane_id", "_corvane_mark").orderBy("_corvane_mark")
+    one = marked.where("_corvane_set").join(heads, ["_corvane_id", "_corvane_mark"], "left_semi").withColumn("_corvane_at", F.row_number().over(at)).where("_corvane_at = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*columns).unionByName(marked.where("not _corvane_set").select(*columns))

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corvane.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, secret_scan, sharding, shingles, toxicity
+from corvane.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, linking, mixing, ngram_join, packing, secret_scan, sharding, shingles, toxicity
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, id string, size string, n int, key string, row_id string, pattern string, h string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -185,8 +185,10 @@ def test_pigeonhole_keys_lose_no_link():
         common = np.sort(rng.choice(base, int(n * rng.choice((0, 0.3, 0.9, 1))), replace=False))
         if len(base) > 2 and len(other) > 2:
             assert np.intersect1d(ngram_join.keys_of(base, common), ngram_join.keys_of(other, common)).size, trial
-        x, y = ngram_join.sketch(base), ngram_join.sketch(other)
-        assert not ngram_join.far([x], [y], np.array([len(base)]), np.array([len(other)]), np.array([0]), np.array([0]))[0]
+        x, y = linking.sketch(base, 16), linking.sketch(other, 16)
+        width = min(len(x), len(y))
+        apart = int(np.bitwise_count(linking.folded([x], width) ^ linking.folded([y], width)).sum())
+        assert apart <= ngram_join.slack(np.array([len(base)]), np.array([len(other)]))[0]
 
 
 def test_pigeonhole_keys_meet_across_a_third():
@@ -228,19 +230,50 @@ def test_line_dedup(docs, empty, rows, spark):
     assert line_dedup.line_query(empty).count() == 0
 
 
-def test_a_text_of_more_lines_than_a_run_holds(monkeypatch):
-    """Lines are keyed in runs whose rows fit their 20 bits; keys and sizes don't depend on the run's length."""
+def test_lines_are_keyed_alike_in_any_block(monkeypatch):
     import pyarrow as pa
 
-    calls, whole = [], line_dedup.signatures
-    monkeypatch.setattr(line_dedup, "signatures", lambda lines, which: calls.append(len(which)) or whole(lines, which))
-    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(f"line {k * 7919} of a long log" for k in range(1000))])], names=["text"])
+    text = "\n".join(f"line {k} of a long text with words {k * k}" for k in range(1000)) + "\nx\n\n x \n"
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, "", text])], names=["text"])
     keyed = lambda: sorted(r for b in line_dedup._keyed(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
     want = keyed()
-    assert calls == [1000] and len(want) == 14 * 1000 and line_dedup._RUN < 1 << 20
-    monkeypatch.setattr(line_dedup, "_RUN", 300)
-    calls.clear()
-    assert keyed() == want and calls == [300, 300, 300, 100]
+    assert len(want) == 14 * 1001
+    monkeypatch.setattr(line_dedup, "_BLOCK", 300)
+    assert keyed() == want
+
+
+def test_line_ids_are_those_of_spark(spark):
+    rows = spark.createDataFrame([(" a line \nünï 𝔘\n\t\nlast\r",)], "text string")
+    got = {r["line"]: r["id"] for r in line_dedup._lines(rows).selectExpr("line", "xxhash64(line) as id").collect()}
+    assert list(got) == ["a line", "ünï 𝔘", "last"]
+    import xxhash
+
+    assert all(np.uint64(xxhash.xxh64_intdigest(k.encode(), 42)).view(np.int64) == v for k, v in got.items())
+
+
+@pytest.mark.parametrize(("small", "tile"), [(8, 1024), (2, 3), (3, 7)])
+def test_links_of_large_buckets_in_tiles(spark, small, tile):
+    """Families of sets around the threshold, all in a few shared buckets, against brute force."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for family in range(4):
+        base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+        for k in range(22):
+            own = rng.random(len(base)) < rng.choice([0.8, 0.9, 0.97])
+            sets[100 * family + k] = np.unique(np.concatenate([base[own], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)]))
+    union = Union()
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                union.join(a, b)
+    keys = [(7, i, 0) for i in sets] + [(i // 100, i, 0) for i in sets] + [(1000 + i % 5, i, 0) for i in sets] + [(5000 + i, i, 0) for i in sets]
+    frame = spark.createDataFrame(keys + keys[:30], "key long, id long, n int").repartition(3)
+    bodies = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "id long, body binary")
+    found = linking.link_components(frame, ngram_join.LIKENESS, lambda ids: bodies.join(ids, "id"), small=small, tile=tile, bits_each=2)
+    got = {r["id"]: r["component_id"] for r in found.collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: union.find(i) for i in sets}
+    assert len(set(got.values())) > 1
 
 
 def test_chat_format(spark):
