@@ -6,13 +6,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import stored, table
 from corvane.llm.line_dedup import dedup_lines
 from corvane.llm.mixing import mixed_documents
-from corvane.llm.ngram_join import ngram_jaccard_join
+from corvane.llm.ngram_join import first_of_groups
 from corvane.llm.packing import pack_query
 from corvane.llm.toxicity import held_out, score, train
 
@@ -30,12 +30,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near copies; rows without a doc_id stay."""
-    groups = ngram_jaccard_join(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_corvane_at", F.row_number().over(at)).where("_corvane_at = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document with the smallest doc_id of every group of near copies; rows that agree in doc_id and text are one; rows
+    without words or without a doc_id stay; an empty table stays empty."""
+    return first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
