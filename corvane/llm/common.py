@@ -19,9 +19,21 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both hold copies of it, beside the heap.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, its Arrow batches bounded to BATCH_BYTES (a lower bound of its own stays)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table `name` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,7 +55,7 @@ _written: set[str] = set()
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{checkpoint_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
