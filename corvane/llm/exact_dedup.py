@@ -1,13 +1,15 @@
 """Exact deduplication with Patricia-trie owners.
 
-Texts are equal when they are the same after deleting white space. Every input partition first folds its own copies, so
-a group that holds a third of all rows reaches its owner as a few rows. The folded texts are dealt by length and content
-hash; each owner inserts the full byte strings into a compressed radix trie whose terminal nodes hold the best row. A
-trie over its memory limit spills its heaviest subtree: those strings go, whole, to the next round over more partitions.
+Texts are equal when they are the same after deleting white space. Rows get a number first. Every input partition folds its
+own copies by the bytes of their texts, so a group that holds a third of all rows reaches its owner as a few rows. The folded
+texts are dealt by length and content hash; each owner inserts the full byte strings into a compressed radix trie whose
+terminal nodes hold the best row and the numbers of the folds that ended there: which rows are one group is told by the
+terminal node that their bytes reach, not by a hash. A trie over its memory limit spills its heaviest subtree: those strings
+go, whole, to the next round over more partitions.
 
 Defined cases: a null text counts as empty; empty texts form one group; of equal texts the one with the most code points
-stays, then the smallest doc_id, null ids last; rows that agree in doc_id and text can't be told apart and share one
-decision; an empty table gives an empty result; other columns are not read.
+stays, then the smallest doc_id, null ids last, then the smallest row number: exactly one row of a group stays, of repeated
+rows too; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import lean, stored
 
 _BLANKS = b" \t\n\x0b\x0c\r"
-_FOLDED = "n_bytes long, digest binary, body binary, points long, best_id long, members long"
+_BEST = "n_bytes long, digest binary, body binary, points long, best_id long, best_row long, members long"
+_FOLDED = f"row long, doc_id long, fold long, sha binary, {_BEST}"
+_OWNED = f"{_BEST}, folds array<long>, spilled boolean"
 
 
 class Node:
@@ -34,18 +39,18 @@ class Node:
 
 
 def better(a: tuple, b: tuple) -> tuple:
-    """Of (points, id) the one that stays."""
-    key = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    """Of (points, id, row) the one that stays."""
+    key = lambda x: (-x[0], x[1] is None, x[1] or 0, x[2])
     return a if key(a) <= key(b) else b
 
 
 class RadixTrie:
-    """A Patricia trie over byte strings; entries are [points, best_id, members, digest]."""
+    """A Patricia trie over byte strings; entries are [best row (points, id, row), members, digest, folds]."""
 
     def __init__(self):
         self.root, self.held, self.size, self.weight = Node(b""), 0, 0, {}
 
-    def insert(self, key: bytes, points: int, best_id: int | None, members: int, digest: bytes) -> None:
+    def insert(self, key: bytes, best: tuple, members: int, digest: bytes, folds: list[int]) -> None:
         node, at = self.root, 0
         while at < len(key):
             kid = node.kids.get(key[at])
@@ -64,13 +69,15 @@ class RadixTrie:
                 node.kids[key[at]] = fork
                 node, at = fork, at + same
         if node.entry is None:
-            node.entry = [points, best_id, members, digest]
+            node.entry = [best, members, digest, folds]
             self.size += 1
             self._grow(key, 200)
         else:
             e = node.entry
-            e[0], e[1] = better((e[0], e[1]), (points, best_id))
-            e[2] += members
+            e[0] = better(e[0], best)
+            e[1] += members
+            e[3] = e[3] + folds
+            self._grow(key, 40 * len(folds))
 
     def _grow(self, key: bytes, n: int) -> None:
         self.held += n
@@ -113,33 +120,46 @@ def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
-_FOLDED_ARROW = pa.schema([("n_bytes", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("points", pa.int64()), ("best_id", pa.int64()), ("members", pa.int64())])
-_OWNED_ARROW = pa.schema([*_FOLDED_ARROW, ("spilled", pa.bool_())])
+_BEST_ARROW = [("n_bytes", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("points", pa.int64()), ("best_id", pa.int64()), ("best_row", pa.int64()), ("members", pa.int64())]
+_FOLDED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int64()), ("sha", pa.binary()), *_BEST_ARROW])
+_OWNED_ARROW = pa.schema([*_BEST_ARROW, ("folds", pa.list_(pa.int64())), ("spilled", pa.bool_())])
 
 
 def _fold(limit: int):
-    """Folds the copies of one input partition, in bounded memory."""
+    """One row per row of an input partition, with its number and that of its fold: the first row that has its bytes since
+    the fold table was last emptied. That row alone carries the bytes and what is best of the fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        folds, rows, size = {}, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            part, held = [], 0
+            for number, doc_id, (best, members, digest, first, body) in rows:
+                part.append((number, doc_id, first, digest, len(body), digest, body, *best, members) if number == first else (number, doc_id, first, digest, *[None] * 7))
+                held += len(body) if number == first else 0
+                if held > 4 << 20 or len(part) == 5000:
+                    yield _rows(part, _FOLDED_ARROW)
+                    part, held = [], 0
+            if part:
+                yield _rows(part, _FOLDED_ARROW)
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             points = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             bodies = batch.column(1).cast(pa.binary())
-            for i, doc_id in enumerate(ids):
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 body = (bodies[i].as_py() or b"").translate(None, _BLANKS)
-                digest = hashlib.sha256(body).digest()
-                if (e := held.get(digest)) is None:
-                    held[digest] = [len(body), digest, body, points[i], doc_id, 1]
+                if (e := folds.get(body)) is None:
+                    folds[body] = e = [(points[i], doc_id, row), 0, hashlib.sha256(body).digest(), row, body]
                     size += len(body) + 300
-                else:
-                    e[3], e[4] = better((e[3], e[4]), (points[i], doc_id))
-                    e[5] += 1
+                e[0], e[1] = better(e[0], (points[i], doc_id, row)), e[1] + 1
+                rows.append((row, doc_id, e))
+                size += 150
+                row += 1
                 if size > limit:
-                    yield _rows(list(held.values()), _FOLDED_ARROW)
-                    held, size = {}, 0
-        if held:
-            yield _rows(list(held.values()), _FOLDED_ARROW)
+                    yield from out()
+                    folds, rows, size = {}, [], 0
+        yield from out()
 
     return run
 
@@ -153,10 +173,10 @@ def _own(limit: int):
         def out(found, spilled):
             rows = []
             size = 0
-            for key, (points, best_id, members, digest) in found:
-                rows.append((len(key), digest, key if spilled else b"", points, best_id, members, spilled))
-                size += len(key) if spilled else 0
-                if len(rows) == 5000 or size > 16 << 20:
+            for key, (best, members, digest, folds) in found:
+                rows.append((len(key), digest, key if spilled else b"", *best, members, folds, spilled))
+                size += 8 * len(folds) + (len(key) if spilled else 0)
+                if len(rows) == 5000 or size > 4 << 20:
                     yield _rows(rows, _OWNED_ARROW)
                     rows, size = [], 0
             if rows:
@@ -164,11 +184,11 @@ def _own(limit: int):
 
         for batch in batches:
             late = []
-            for body, points, best_id, members, digest in zip(*(batch.column(n).to_pylist() for n in ("body", "points", "best_id", "members", "digest")), strict=True):
+            for body, points, best_id, best_row, members, folds, digest in zip(*(batch.column(n).to_pylist() for n in ("body", "points", "best_id", "best_row", "members", "folds", "digest")), strict=True):
                 if body[:1] in gone:
-                    late.append((body, [points, best_id, members, digest]))
+                    late.append((body, [(points, best_id, best_row), members, digest, folds]))
                     continue
-                trie.insert(body, points, best_id, members, digest)
+                trie.insert(body, (points, best_id, best_row), members, digest, folds)
                 while trie.held > limit and trie.size > 1:
                     yield from out(trie.spill(), True)
                     gone.add(trie.gone)
@@ -178,27 +198,26 @@ def _own(limit: int):
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trie_bytes: int = 192 << 20, max_fold_bytes: int = 48 << 20) -> DataFrame:
-    """One row per distinct normalised text: text_sha256, n_bytes, best_points, keep_id, group_size."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    todo = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_fold(max_fold_bytes), _FOLDED)
+def _owned(folded: DataFrame, max_trie_bytes: int) -> DataFrame:
+    """One row per distinct normalised text: _OWNED."""
+    parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = folded.where("body is not null").select("n_bytes", "digest", "body", "points", "best_id", "best_row", "members", F.array("fold").alias("folds"))
     done, rounds = None, 0
     while True:
-        owned = stored(todo.repartition(parts * 4**rounds, "n_bytes", "digest").mapInArrow(_own(max_trie_bytes), _FOLDED + ", spilled boolean"), f"owned{rounds}")
-        ready = owned.where("not spilled").select("n_bytes", "digest", "points", "best_id", "members")
+        owned = stored(todo.repartition(parts * 4**rounds, "n_bytes", "digest").mapInArrow(lean(_own(max_trie_bytes)), _OWNED), f"owned{rounds}")
+        ready = owned.where("not spilled")
         done = ready if done is None else done.unionByName(ready)
         if owned.where("spilled").limit(1).count() == 0:
-            break
+            return done
         todo, rounds = owned.where("spilled").drop("spilled"), rounds + 1
-    return done.select(F.lower(F.hex("digest")).alias("text_sha256"), "n_bytes", F.col("points").alias("best_points"), F.col("best_id").alias("keep_id"), F.col("members").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256. Only ids and digests are shuffled here."""
-    groups = exact_groups(docs, id_col, text_col, **limits)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.regexp_replace(text, f"[{SPACE}]+", "").cast("binary"), 256).alias("text_sha256"), F.char_length(text).cast("long").alias("_points"))
-    return rows.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_points") == F.col("best_points"))).alias("kept"), "text_sha256"
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trie_bytes: int = 192 << 20, max_fold_bytes: int = 48 << 20) -> DataFrame:
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
+    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    # Stored before use, so a row's number and fold can't change when an executor is lost.
+    folded = stored(slim.mapInArrow(lean(_fold(max_fold_bytes)), _FOLDED), "folded")
+    told = _owned(folded, max_trie_bytes).select(F.explode("folds").alias("fold"), F.col("best_id").alias("keep_id"), "best_row", F.col("members").alias("group_size"))
+    return folded.select("row", "doc_id", "fold", "sha").join(told, "fold").select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
