@@ -5,15 +5,19 @@ Each text becomes token ids and an end id. Whole windows of it stand alone; what
 differencing method splits them into k windows: the two partial partitions with the largest imbalance are merged, the
 fullest window of one on the emptiest of the other. k starts at what the sum needs and rises while a window overflows.
 
-Defined cases: a null text has the end id alone; equal rows are packed each for itself; ids come from the vocabulary file,
-whose special strings are ordinary text; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text has the end id alone; equal rows are packed each for itself; a text that holds one of the vocabulary
+file's special strings gets the id that the file's tokenizer gives it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,74 +25,143 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import lean, numbered, stored
 
-#: Blanks beside the space and the line feed, and the mark at which texts are split: texts with one are encoded as a whole.
-_ODD_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\x00"
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+#: Blanks beside the space and the line feed: texts with one are encoded as a whole.
+_ODD_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_PARTS = re.compile(r"\n+| ?[^ \n]+").findall
 
 
-class Encoder:
-    """Ids of the vocabulary file, as little-endian uint32 bytes.
+def _parts(text: str) -> list[str]:
+    """The words of a text, with their space, and its line feeds: one or two in a row are words of their own, longer runs one word."""
+    if "\n\n\n" in text or "\0" in text:
+        return _PARTS(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    Between a non-space and one space before a non-space the vocabulary's word pattern always breaks, so a text whose
-    blanks are single is encoded word by word through a cache. New words go to a merge engine over the same ranks, which
-    is held against the vocabulary file's own tokenizer on the first texts of every task and replaced by it on any difference.
-    """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, trust: int = 3, limit: int = 600_000):
-        import base64
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
-        import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        engine = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.fast, self.trust, self.ok = engine.encode_ordinary, trust, True
+# Fixed value: the word pattern of the vocabulary's byte-level pre-tokenizer. Between ASCII characters every engine reads it alike.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id of a vocabulary file, if its merges in order make the tokens in the order of their ids; then merging the
+    pair of the lowest id and merging by the file's list are the same. None otherwise, or with any normalizer or other step."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return None
+    # The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    vocabulary = {t: k for t, k in model["vocab"].items() if t not in added}
+    if any(c not in byte for t in vocabulary for c in t):
+        return None
+    made = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocabulary.get(a + b, -1) for a, b in made]
+    single = sorted(k for t, k in vocabulary.items() if len(t) == 1)
+    if len(single) != 256 or single[-1] >= min(ids) or any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or len(ids) + 256 != len(vocabulary):
+        return None
+    return {bytes(byte[c] for c in t): k for t, k in vocabulary.items()}
+
+
+@lru_cache(2)
+def _engine(json_path: str):
+    """A merge engine over the file's own tables, or None."""
+    import tiktoken
+
+    with open(json_path, encoding="utf-8") as f:
+        ranks = _ranks(json.load(f))
+    return ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
-        class Cache(dict):
-            def __missing__(cache, word: str) -> bytes:  # noqa: N805
-                out = np.array(self.fast(word), "<u4").tobytes()
-                if len(cache) < limit and len(word) < 40:
-                    cache[word] = out
-                return out
+class Encoder:
+    """Ids of the vocabulary file as little-endian uint32 bytes, exactly those of its tokenizer's encode(text, add_special_tokens=False).
+
+    The vocabulary's word pattern always breaks between a non-space and one space before a non-space, and on both sides of
+    a run of line feeds between non-spaces. A text whose blanks are such is the sequence of its words, and every distinct
+    word is encoded once and kept (`limit` words of under 40 characters; words beyond that are encoded again). Words
+    beyond ASCII go to the tokenizer, as do whole texts with other blanks or with one of the file's added strings. ASCII
+    words go to a merge engine that is given the file's own tables, after `_ranks` has proved that they say the same; where
+    they don't, the tokenizer encodes these too.
+    """
+
+    def __init__(self, json_path: str, limit: int = 400_000):
+        from tokenizers import Tokenizer
 
-        self.words = Cache()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.whole, self.limit, self.words = Tokenizer.from_file(json_path), limit, {"": b""}
+        self.engine = _engine(json_path)
+        added = {k: t.content for k, t in self.whole.get_added_tokens_decoder().items()}
+        self.added = tuple(added.values())
+        vocabulary = self.whole.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)
 
     def reference(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def quick(self, text: str) -> bytes:
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1].isspace() or any(c in text for c in _ODD_BLANKS):
-            return np.array(self.fast(text), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
-
-    def __call__(self, text: str) -> bytes:
-        if not self.ok or not text:
-            return self.reference(text)
-        try:
-            out = self.quick(text)
-        except Exception:  # the engine refuses what the tokenizer takes, such as lone surrogates or huge runs
-            return self.reference(text)
-        if self.trust > 0 and len(text) < 20_000:
-            self.trust -= 1
-            if out != (own := self.reference(text)):
-                self.ok = False
-                return own
+    def _by_words(self, text: str) -> bool:
+        odd = "  " in text or "\n " in text or " \n" in text or text[:1] in " \n" or text[-1:].isspace() or any(c in text for c in _ODD_BLANKS)
+        return not odd and not any(t in text for t in self.added)
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, encoded in long runs: words that begin with their space as they are, others between line feeds.
+        Which tokens are a word's is told by their lengths in bytes."""
+        found = {w: self.reference(w + "x")[:-4] for w in words if w[0] == "\n"}
+        slow = lambda text: self.whole.encode(text, add_special_tokens=False).ids
+        plain = {w: w.isascii() and self.engine is not None for w in words}
+        for encode, quick in ((slow, False), (self.engine and self.engine.encode_ordinary, True)):
+            mine = [w for w in words if plain[w] == quick]
+            for mark, group in (("", [w for w in mine if w[0] == " "]), ("\n", [w for w in mine if w[0] not in " \n"])):
+                for k in range(0, len(group), 4000):
+                    run = group[k : k + 4000]
+                    ids = np.array(encode(mark.join(run)), "<u4")
+                    ends = np.cumsum([(len(w) if quick else len(w.encode())) + len(mark) for w in run])
+                    starts = np.concatenate(([0], ends[:-1]))
+                    at = np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]
+                    lo, hi, raw = 4 * np.searchsorted(at, starts), 4 * np.searchsorted(at, ends - len(mark)), ids.tobytes()
+                    found.update((w, raw[a:b]) for w, a, b in zip(run, lo.tolist(), hi.tolist(), strict=True))
+        return found
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        split = [_parts(text) if text and self._by_words(text) else None for text in texts]
+        need: set[str] = set()
+        need.update(*(words for words in split if words))
+        need.discard("")
+        new = [w for w in need if w not in self.words]
+        if len(self.words) + len(new) > self.limit:
+            self.words = {"": b""} | {w: self.words[w] for w in need if w in self.words}
+        self.words.update(self._words(new))
+        out = [b"".join(map(self.words.__getitem__, words)) if words else self.reference(text) if text else b"" for words, text in zip(split, texts, strict=True)]
+        for w in new:
+            if len(w) >= 40:
+                del self.words[w]
         return out
 
 
-def _cut(json_path: str, ranks_path: str, pattern: str, end_id: int, window: int, piece: int):
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of runs of at most 256 rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+
+
+def _cut(json_path: str, end_id: int, window: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(json_path, ranks_path, pattern)
+        encoder = Encoder(json_path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for doc_ids, texts in _texts(batches):
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            for doc_id, encoded in zip(doc_ids, encoder.batch(texts), strict=True):
+                ids = memoryview(encoded + end)
                 n = len(ids) // 4
                 whole = n // window * window
                 for a, b in [*((k, k + window) for k in range(0, whole, window)), *((k, min(k + piece, n)) for k in range(whole, n, piece))]:
@@ -151,11 +224,11 @@ def windows(sizes: list[int], window: int) -> list[int]:
         k += 1
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, end_id: int = 1, window: int = 2048, piece: int = 512, batch: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, json_path: str, end_id: int = 1, window: int = 2048, piece: int = 512, batch: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(slim.mapInArrow(_cut(json_path, ranks_path, pattern, end_id, window, piece), ddl), "pieces")
+    pieces = stored(slim.mapInArrow(lean(_cut(json_path, end_id, window, piece)), ddl), "pieces")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     whole, n = numbered(pieces.where(F.col("length") == window), *names, name="sequence_id")
     rest, _ = numbered(pieces.where(F.col("length") < window), *names)
@@ -177,4 +250,4 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, end_id:
 def pack_query(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
