@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A pass over whole texts finds the base spans (assign, access, hex) and looser candidates: long mixed tokens. Values leave
-that pass only as SHA-256. Their distinct repositories and owners are counted over the whole corpus in two steps, so a
-value that a third of all rows share meets its counter as one row per owner. Values of `min_owners` owners or more, or of
+that pass only as SHA-256. Their distinct repositories and distinct owners are counted over the whole corpus, each in two
+steps, so a value that a third of all rows share meets its counter as one row per repository or owner. Values of `min_owners` owners or more, or of
 `min_repositories` repositories or more whatever their owners, are widely copied examples; other values of enough entropy
 look live. A loose candidate becomes a span (kind live) only if it is no such example; base spans always stay.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -88,12 +88,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `repository_col` names the unit of copying; by default every document is its own.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col or id_col).cast("string").alias("repository"), F.col(text_col).cast("string").alias("text"))
-    found = slim.mapInArrow(_scan(min_bits), f"doc_id long, owner string, repository string, base {_DDL_SPAN}, loose {_DDL_SPAN}")
+    found = slim.mapInArrow(lean(_scan(min_bits)), f"doc_id long, owner string, repository string, base {_DDL_SPAN}, loose {_DDL_SPAN}")
     found = stored(found.withColumn("row_id", F.monotonically_increasing_id()), "secrets")
     each = found.select("row_id", "owner", "repository", F.explode(F.concat("base", "loose")).alias("s")).select("row_id", "owner", "repository", "s.*")
-    # Three partial aggregations: a value copied into a third of all rows is a few rows per task from the first on.
-    owned = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    owned = owned.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    # Distinct pairs first: a value copied into a third of all rows is a few rows per task from then on.
+    count = lambda unit, name: each.groupBy("value", unit).agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias(name))
+    owned = count("repository", "repositories").join(count("owner", "owners"), "value")
     copied = (F.col("owners") >= min_owners) | (F.col("repositories") >= min_repositories)
     live = ~copied & (F.col("bits") >= min_bits)
     span = F.struct("start", "kind", "end", "value", "bits")
