@@ -3,11 +3,13 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Token capacity flows from patterns to
 source quotas; a pattern's first epoch costs 0 a token, each repeat costs one more, so the flow repeats nothing while
 fresh tokens can still serve a quota. Then documents are taken in a seeded order: whole epochs for all of a pattern, and
-for the rest of its flow a prefix of that order, closed by a document that fits the gap best. Where whole documents leave a gap of more than
-1/500 of the pattern's flow, one more document is cut to the words that are missing.
+for the rest of its flow a prefix of that order, closed by up to three documents that bring it nearest to the flow. Where whole
+documents still leave more than 1/500 of the flow open (a giant document in a small source), `mix` counts the words of one
+more in part if `cut` is set, so the figures meet the targets; documents that are emitted are always whole.
 
-Only the pattern table comes to the driver (its row count is checked against `max_patterns`). The cut of a pattern is
-found by a histogram of the seeded hash, so no pattern, however hot, is sorted in one task.
+Only the pattern table comes to the driver, and it is broadcast to meet the rows (its row count is checked against
+`max_patterns`). The cut of a pattern is found by a histogram of the seeded hash, so no pattern, however hot, is dealt to or
+sorted in one task.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its own, last in order; equal
 doc_ids share a place in the order and are told apart by row; an empty table gives an empty result.
@@ -15,18 +17,14 @@ doc_ids share a place in the order and are told apart by row; an empty table giv
 
 from __future__ import annotations
 
-import re
 from collections import deque
-from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, stored
 
 _BUCKETS_BITS = 16
-_RUN = re.compile(f"[^{SPACE}]+")
 
 
 def source_targets(sizes: dict, weights: dict, max_repeat: int = 3) -> dict:
@@ -98,8 +96,8 @@ def size_in_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, max_broadcast: int = 1_000_000, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
-    """Rows (doc_id, sources, size, taken, epochs, part, *keep) and the table source -> (size, target).
+def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, max_broadcast: int = 1_000_000, keep: tuple[str, ...] = (), cut: bool = True) -> tuple[DataFrame, dict]:
+    """Rows (doc_id, sources, size, taken, epochs, *keep) and the table source -> (size, target).
 
     `sources` is an array column; `weight_of(k)` is the weight of the k-th source in code point order (default 1, 2, 3, 1, ...).
     """
@@ -131,59 +129,47 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
     rows = slim.withColumn("pattern", key(F.col("sources")))
     up_to = Window.partitionBy("pattern").orderBy("bucket")
     cuts = (
-        rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(up_to)).join(plan, "pattern")
+        rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(up_to)).join(F.broadcast(plan), "pattern")
         .where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min("bucket").alias("cut"), F.min(F.struct("bucket", F.expr("upto - n")))["col2"].alias("before"))
     )
     plan = spark.createDataFrame(plan.join(cuts, "pattern", "left").select("pattern", "epochs", "rest", "flow", "cut", "before").collect(), "pattern string, epochs long, rest long, flow long, cut int, before long")
-    rows = rows.join(plan, "pattern", "left")
+    rows = rows.join(F.broadcast(plan), "pattern", "left")
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "row_id")
     at_cut = rows.where("bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(order)).where("_upto <= rest").select("row_id", "pattern", "size", F.lit(True).alias("_in"))
     at_cut = stored(at_cut, "cut")
+    small = at_cut.count() <= max_broadcast
     got = at_cut.groupBy("pattern").agg(F.sum("size").alias("_got"))
     open_ones = plan.where("cut is not null").join(got, "pattern", "left").collect()
     gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in open_ones}
     flows = {r["pattern"]: r["flow"] for r in open_ones}
     extra: list[tuple] = []
-    # One whole document that fits the gap, then one cut where the gap is still wide.
-    for last in (False, True):
-        todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if last else 0)]
+    for part in (False, False, False, *[True] * cut):
+        todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if part else 0)]
         if not todo:
             continue
-        left = rows.where("size > 0 and bucket >= cut").join(at_cut.select("row_id"), "row_id", "left_anti").join(spark.createDataFrame(todo, "pattern string, gap long"), "pattern")
+        left = rows.where("size > 0 and bucket >= cut").join(F.broadcast(at_cut.select("row_id")) if small else at_cut.select("row_id"), "row_id", "left_anti")
+        left = left.join(F.broadcast(spark.createDataFrame(todo, "pattern string, gap long")), "pattern").where("size > gap" if part else "size <= gap" if cut else "size < 2 * gap")
         if extra:
             left = left.join(F.broadcast(spark.createDataFrame([x[:1] for x in extra], "row_id long")), "row_id", "left_anti")  # a few rows per pattern
-        left = left.where("size > gap" if last else "size <= gap")
         order_of = F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h", "doc_id", "row_id")
         for r in left.groupBy("pattern").agg(F.min_by(F.struct("row_id", "size"), order_of).alias("x")).collect():
-            n = gaps[r["pattern"]] if last else r["x"]["size"]
-            extra.append((r["x"]["row_id"], not last, n if last else 0))
-            gaps[r["pattern"]] -= n
+            extra.append((r["x"]["row_id"], not part, gaps[r["pattern"]] if part else 0))
+            gaps[r["pattern"]] -= r["x"]["size"]
     chosen = at_cut.select("row_id", "_in", F.lit(0).cast("long").alias("part")).unionByName(spark.createDataFrame(extra, "row_id long, _in boolean, part long"))
-    if at_cut.count() <= max_broadcast:
-        chosen = F.broadcast(chosen)
     picked = F.coalesce(F.col("_in"), F.col("bucket") < F.col("cut"), F.lit(False)).cast("long")
-    out = rows.join(chosen, "row_id", "left").withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + picked)
-    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs") + F.coalesce("part", F.lit(0))).alias("taken"), "epochs", F.coalesce("part", F.lit(0)).alias("part"), *keep)
+    out = rows.join(F.broadcast(chosen) if small else chosen, "row_id", "left").withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + picked)
+    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs") + F.coalesce("part", F.lit(0))).alias("taken"), "epochs", *keep)
     return out, {s: (sizes[s], targets[s]) for s in names}
 
 
-def _first_words(texts: pa.Array, parts: pa.Array) -> pa.Array:
-    """Each text up to the end of its n-th word."""
-    ends = [next(islice(_RUN.finditer(t.as_py()), n.as_py() - 1, None)).end() for t, n in zip(texts, parts, strict=True)]
-    return pa.array([t.as_py()[:end] for t, end in zip(texts, ends, strict=True)], pa.string())
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with its own columns; a cut one ends after its words."""
+    """The mix itself: each row of `docs` as often as it is taken, with its own columns."""
     columns = [f"_{k}" for k in range(len(docs.columns))]
     named = docs.toDF(*columns)
     at = {c: f"_{k}" for k, c in enumerate(docs.columns)}
-    out, _ = mix(named, size_in_words(F.col(at["text"])), F.array(F.col(at["source"]).cast("string")), id_col=at["doc_id"], keep=tuple(columns), **options)
+    out, _ = mix(named, size_in_words(F.col(at["text"])), F.array(F.col(at["source"]).cast("string")), id_col=at["doc_id"], keep=tuple(columns), cut=False, **options)
     whole = out.where("epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
-    cut = out.where("part > 0").withColumn(at["text"], F.arrow_udf(_first_words, "string")(F.col(at["text"]).cast("string"), F.col("part")))
-    if "n_chars" in at:
-        cut = cut.withColumn(at["n_chars"], F.char_length(at["text"]).cast("long"))
-    return whole.select(*columns).unionByName(cut.select(*columns)).toDF(*docs.columns)
+    return whole.select(*columns).toDF(*docs.columns)
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
@@ -191,4 +177,4 @@ def mix_query(docs: DataFrame) -> DataFrame:
     out, found = mix(docs, size_in_words(F.col("text")), F.array(F.col("source").cast("string")))
     known = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in found.items()], "source string, source_size long, target double")
     out = out.withColumn("_source", F.element_at("sources", 1))
-    return out.join(known, F.col("_source").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
+    return out.join(F.broadcast(known), F.col("_source").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
