@@ -1,13 +1,20 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 A logistic model over words and word beginnings, trained on a bounded, class-stratified sample of the labelled rows
-(`max_toxic`, `max_clean`, smallest seeded hashes first). For every training document that names an identity group, copies
-with the group's term swapped for others of its set are built, and the squared change of the logit is penalised: what the
-model holds against a mere mention cancels out. Every whole text of the table is then scored.
+(`max_toxic`, `max_clean`, smallest seeded hashes first) with the `max_features` features that tell the classes apart best, of
+those in at least `min_documents` training rows. For every training row counterfactual copies are made: where it names
+an identity group, the group's terms are swapped for every other of their set; where it names none, a mention of a term
+is added, the set chosen by a hash of the row, for every term of the set, in neutral and toxic rows alike. The squared change of
+the logit between a row and its copies is penalised (`swap_penalty`), so what the model holds against a mere mention
+cancels out. Only the features that a swap changes are kept of a copy. Every whole text of the table is then scored.
+
+Sets of terms are given for the languages of the corpus and are a parameter. model[-3] is the number of pairs, model[-4]
+the mean absolute change of the logit over them.
 
 Defined cases: a null text is scored as the empty text; null labels are ignored, of several labels of a document the highest
-counts; without any usable label every score is the prior (0 if there is none); repeated rows score alike; an empty table gives
-an empty result; other columns are not read. Inputs of a score are the words of the text, nothing else.
+counts; of several rows of a doc_id that is in the sample at most `max_rows` are learnt from; without any usable label every
+score is the prior (0 if there is none); repeated rows score alike; an empty table gives an empty result; other columns are
+not read. Inputs of a score are the words of the text, nothing else.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sets of interchangeable identity terms.
+# Sets of interchangeable identity terms, in English, German, French and Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -36,8 +43,22 @@ IDENTITY_TERMS = (
     ("immigrants", "natives", "refugees", "foreigners"),
     ("old", "young", "elderly"),
     ("disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
-_SWAPS = {w: [v for v in group if v != w] for group in IDENTITY_TERMS for w in group}
 _WORD = re.compile(r"\w+")
 _BITS = 22
 _PREFIXES = (5, 6, 7)
@@ -58,26 +79,47 @@ def _counts(words: Counter) -> tuple[list[int], list[float]]:
     return list(found), [float(x) for x in found.values()]
 
 
-def swapped(words: Counter, per_doc: int = 3) -> list[Counter]:
-    """Counterfactual copies: in copy k every identity term becomes its k-th alternative."""
-    terms = [w for w in words if w in _SWAPS]
+def swaps(words: Counter, terms: tuple, seed: int) -> list[tuple[Counter, Counter]]:
+    """(words that go, words that come) of every counterfactual copy: in copy k every term becomes the k-th other of its set, and
+    a text without terms gets a mention, once for each term of the set that the seed chooses."""
+    sets = [(set(group) & words.keys(), group) for group in terms]
+    named = [(mine, group) for mine, group in sets if mine]
+    if not named:
+        group = terms[seed % len(terms)] if terms else ()
+        return [(Counter(), Counter({w: 1})) for w in group]
     out = []
-    for k in range(per_doc if terms else 0):
-        copy = Counter({w: n for w, n in words.items() if w not in _SWAPS})
-        for w in terms:
-            copy[_SWAPS[w][k % len(_SWAPS[w])]] += words[w]
-        out.append(copy)
+    for k in range(1, max(len(group) for _, group in named)):
+        gone, come = Counter(), Counter()
+        for mine, group in named:
+            for w in mine:
+                gone[w] = words[w]
+                come[group[(group.index(w) + k) % len(group)]] += words[w]
+        out.append((gone, come))
     return out
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for doc_id, label, weight, text in zip(frame["doc_id"], frame["label"], frame["weight"], frame["text"], strict=True):
-            words = Counter(_WORD.findall((text or "").lower()))
-            for k, w in enumerate([words, *swapped(words)]):
-                rows.append((doc_id, k, label, weight, math.log1p(sum(w.values())), *_counts(w)))
-        yield pd.DataFrame(rows, columns=["doc_id", "copy", "label", "weight", "length", "features", "counts"])
+def _extract(terms: tuple):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, label, weight, text in zip(frame["doc_id"], frame["label"], frame["weight"], frame["text"], strict=True):
+                words = Counter(_WORD.findall((text or "").lower()))
+                features, counts = _counts(words)
+                length = sum(words.values())
+                rows.append((doc_id, 0, label, weight, math.log1p(length), features, counts))
+                held = dict(zip(features, counts, strict=True))
+                for k, (gone, come) in enumerate(swaps(words, terms, zlib.crc32(str(doc_id).encode())), 1):
+                    # Of a copy, what changes: the step of every feature's value.
+                    changed = Counter()
+                    for some, sign in ((gone, -1), (come, 1)):
+                        for f, n in zip(*_counts(some), strict=True):
+                            changed[f] += sign * n
+                    steps = [(f, math.log1p(held.get(f, 0.0) + n) - math.log1p(held.get(f, 0.0))) for f, n in changed.items() if n]
+                    longer = math.log1p(length + sum(come.values()) - sum(gone.values())) - math.log1p(length)
+                    rows.append((doc_id, k, label, weight, longer, [f for f, _ in steps], [v for _, v in steps]))
+            yield pd.DataFrame(rows, columns=["doc_id", "copy", "label", "weight", "length", "features", "counts"])
+
+    return run
 
 
 class _Sparse:
@@ -96,8 +138,8 @@ class _Sparse:
         return np.bincount(self.col, self.val * g[self.row], self.width)
 
 
-def fit(frame: pd.DataFrame, max_features: int, l2: float, swap_penalty: float, steps: int) -> pd.DataFrame:
-    """(feature, weight): -1 is the intercept, -2 the weight of the log length."""
+def fit(frame: pd.DataFrame, max_features: int, min_documents: int, l2: float, swap_penalty: float, steps: int) -> pd.DataFrame:
+    """(feature, weight): -1 is the intercept, -2 the weight of the log length, -3 the number of pairs, -4 their mean gap."""
     frame = frame.sort_values(["doc_id", "copy"], kind="stable").reset_index(drop=True)
     plain = frame[frame["copy"] == 0]
     y, wt = plain["label"].to_numpy(float), plain["weight"].to_numpy(float)
@@ -110,26 +152,23 @@ def fit(frame: pd.DataFrame, max_features: int, l2: float, swap_penalty: float,
     p1, p0 = max((wt * y).sum(), 1e-9), max((wt * (1 - y)).sum(), 1e-9)
     a, b = pos / p1, neg / p0
     rank = np.abs(a - b) / np.sqrt((a * (1 - a)).clip(0) / max(y.sum(), 1) + (b * (1 - b)).clip(0) / max((1 - y).sum(), 1) + 1e-4)
-    rank[df < 4] = 0
+    rank[df < min_documents] = 0
     vocab = np.sort(np.argsort(-rank, kind="stable")[:max_features])
     vocab = vocab[rank[vocab] > 0]
     slot = np.full(1 << _BITS, -1, np.int64)
     slot[vocab] = np.arange(len(vocab))
     width = len(vocab) + 2
 
-    def sparse(part: pd.DataFrame) -> _Sparse:
+    def sparse(part: pd.DataFrame, one: float, value: Callable) -> _Sparse:
         lists = []
         for f, c, length in zip(part["features"], part["counts"], part["length"], strict=True):
             s = slot[np.asarray(f, dtype=np.int64)] if len(f) else np.zeros(0, np.int64)
             ok = s >= 0
-            lists.append((np.append(s[ok], [width - 2, width - 1]), np.append(np.log1p(np.asarray(c, dtype=float)[ok]), [1.0, length / 5])))
+            lists.append((np.append(s[ok], [width - 2, width - 1]), np.append(value(np.asarray(c, dtype=float)[ok]), [one, length / 5])))
         return _Sparse(lists, width)
 
-    x = sparse(plain)
-    copies = frame[frame["copy"] > 0]
-    x2 = sparse(copies)
-    at = pd.Series(np.arange(len(plain)), index=plain["doc_id"].to_numpy()).groupby(level=0).first()
-    x1_of = at.reindex(copies["doc_id"]).to_numpy(np.int64) if len(copies) else np.zeros(0, np.int64)
+    x = sparse(plain, 1.0, np.log1p)
+    swap = sparse(frame[frame["copy"] > 0], 0.0, np.asarray)  # what a copy changes
     w = np.zeros(width)
     w[-2] = math.log(p1 / p0)
     m, v = np.zeros(width), np.zeros(width)
@@ -138,21 +177,19 @@ def fit(frame: pd.DataFrame, max_features: int, l2: float, swap_penalty: float,
     for t in range(1, steps + 1):
         z = x.dot(w)
         g = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        if x2.n:
-            gap = (x2.dot(w) - z[x1_of]) * (2 * swap_penalty / x2.n)
-            grad = x2.back(gap) + x.back(g - np.bincount(x1_of, gap, x.n))
-        else:
-            grad = x.back(g)
-        grad += decay * w
+        grad = x.back(g) + decay * w
+        if swap.n:
+            grad += swap.back(swap.dot(w) * (2 * swap_penalty / swap.n))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.08 * (0.5 + 0.5 * math.cos(math.pi * t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return pd.DataFrame({"feature": np.append(vocab, [-1, -2]), "weight": np.append(w[:-2], [w[-2], w[-1] / 5])})
+    gap = float(np.abs(swap.dot(w)).mean()) if swap.n else 0.0
+    return pd.DataFrame({"feature": np.append(vocab, [-1, -2, -3, -4]), "weight": np.append(w[:-2], [w[-2], w[-1] / 5, swap.n, gap])})
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_features: int = 3000, l2: float = 3e-5, swap_penalty: float = 1.0, steps: int = 300) -> dict[int, float]:
-    """The model as feature -> weight, at most max_features + 2 entries. Callers pass only the labels to learn from.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_features: int = 3000, min_documents: int = 4, l2: float = 3e-5, swap_penalty: float = 1.0, steps: int = 300, identity_terms: tuple = IDENTITY_TERMS, max_rows: int = 20_000) -> dict[int, float]:
+    """The model as feature -> weight, at most max_features + 4 entries. Callers pass only the labels to learn from.
 
-    The sample is bounded by max_toxic + max_clean rows, so it is broadcast to meet the texts; class weights restore the
+    The sample is bounded by max_toxic + max_clean documents, so it is broadcast to meet the texts, and by max_rows rows; class weights restore the
     proportions of all labels. The fit itself runs in one task over that bounded sample.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -161,12 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not n.get(0) or not n.get(1):
         return {-1: 30.0 if n.get(1) else -30.0, -2: 0.0}
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    rows = sample.mapInPandas(_extract, "doc_id long, copy int, label int, weight double, length double, features array<int>, counts array<double>")
+    sample = sample.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
+    rows = sample.mapInPandas(_extract(identity_terms), "doc_id long, copy int, label int, weight double, length double, features array<int>, counts array<double>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
         if got:
-            yield fit(pd.concat(got), max_features, l2, swap_penalty, steps)
+            yield fit(pd.concat(got), max_features, min_documents, l2, swap_penalty, steps)
 
     fitted = rows.coalesce(1) if docs.sparkSession.sparkContext.defaultParallelism == 1 else rows.repartition(1)
     return {int(r["feature"]): float(r["weight"]) for r in fitted.mapInPandas(run, "feature long, weight double").collect()} or {-1: -30.0, -2: 0.0}
