@@ -33,7 +33,7 @@ WIDTH, BANDS, ROWS = 6, 14, 4
 _BINS = BANDS * ROWS
 #: Code points of a block of lines; a line's row in it has 20 bits.
 _BLOCK = 1 << 19
-_SEEN = 1_000_000
+_SEEN = 250_000
 _STRIP = " \t\n\x0b\x0c\r"
 #: The seed of Spark's xxhash64, so a line has one id in Python and in SQL.
 _SEED = 42

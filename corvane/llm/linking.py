@@ -469,15 +469,21 @@ def link_components(keys: DataFrame, like: Likeness, bodies: Callable[[DataFrame
         rows = rows.join(sketches, "id").select("key", "id", "side", "comp", "n", "sketch")
         return rows.repartition("key").sortWithinPartitions("key", "comp").mapInArrow(lean(kernel(like)), ddl)
 
+    def sketched(ids: DataFrame, bits: int) -> DataFrame:
+        read = stored(bodies(ids), "bodies")  # a stage with one Python step needs half the workers of one with two
+        out = stored(read.mapInArrow(lean(_fine(like, bits)), "id long, n int, sketch binary"), "sketches")
+        discard(read)
+        return out
+
     ddl = "key long, id long, side int, comp long"
     named = stored(mixed.select("id").distinct(), "ids")
     if coarse is None:
-        coarse = stored(bodies(named).mapInArrow(lean(_fine(like, 1)), "id long, n int, sketch binary"), "sketches")
+        coarse = sketched(named, 1)
     # Small sketches leave few rows; those get sketches that hardly let a pair pass that isn't linked.
     near = stored(compared(_tiles(mixed, tile), coarse, _contested, ddl), "near")
     discard(mixed, named)
     named = stored(near.select("id").distinct(), "ids")
-    fine = stored(bodies(named).mapInArrow(lean(_fine(like, bits_each)), "id long, n int, sketch binary"), "sketches")
+    fine = sketched(named, bits_each)
     proposed = stored(compared(near, fine, _proposed, "a long, b long").distinct(), "proposed")
     check(proposed, None)
     was = found

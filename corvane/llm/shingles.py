@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix64(z: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def _slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Each row's sorted set of word shingle hashes; a text with fewer words has one shingle, one without words none."""
-    for part in _slices(column, 2 * _BLOCK):
+    for part in _slices(column, 4 * _BLOCK):
         data, bounds = buffers(part)
         words, at = word_hashes(data, bounds)
         runs = _folded(words, width) if len(words) >= width else np.zeros(0, _U)
