@@ -20,7 +20,7 @@ SPACE = r"\x20\x09-\x0D"
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker; both hold copies of it, beside the heap.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:

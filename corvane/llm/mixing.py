@@ -147,8 +147,10 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
         todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if part else 0)]
         if not todo:
             continue
-        left = rows.where("size > 0 and bucket >= cut").join(F.broadcast(at_cut.select("row_id")) if small else at_cut.select("row_id"), "row_id", "left_anti")
-        left = left.join(F.broadcast(spark.createDataFrame(todo, "pattern string, gap long")), "pattern").where("size > gap" if part else "size <= gap" if cut else "size < 2 * gap")
+        # Sizes first: few rows are of use for a gap, so few meet those that are taken already.
+        left = rows.where("size > 0 and bucket >= cut").join(F.broadcast(spark.createDataFrame(todo, "pattern string, gap long")), "pattern")
+        left = left.where("size > gap" if part else "size <= gap" if cut else "size < 2 * gap")
+        left = left.join(F.broadcast(at_cut.select("row_id")) if small else at_cut.select("row_id"), "row_id", "left_anti")
         if extra:
             left = left.join(F.broadcast(spark.createDataFrame([x[:1] for x in extra], "row_id long")), "row_id", "left_anti")  # a few rows per pattern
         order_of = F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h", "doc_id", "row_id")

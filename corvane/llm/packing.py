@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,7 +69,6 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): k for t, k in vocabulary.items()}
 
 
-@lru_cache(2)
 def _engine(json_path: str):
     """A merge engine over the file's own tables, or None."""
     import tiktoken
@@ -91,7 +89,7 @@ class Encoder:
     they don't, the tokenizer encodes these too.
     """
 
-    def __init__(self, json_path: str, limit: int = 400_000):
+    def __init__(self, json_path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core

@@ -12,7 +12,7 @@ Sets of terms are given for the languages of the corpus and are a parameter. mod
 the mean absolute change of the logit over them.
 
 Defined cases: a null text is scored as the empty text; null labels are ignored, of several labels of a document the highest
-counts; of several rows of a doc_id that is in the sample at most `max_rows` are learnt from; without any usable label every
+counts; of several rows of a doc_id that is in the sample at most `max_texts` are learnt from; without any usable label every
 score is the prior (0 if there is none); repeated rows score alike; an empty table gives an empty result; other columns are
 not read. Inputs of a score are the words of the text, nothing else.
 """
@@ -28,9 +28,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # Sets of interchangeable identity terms, in English, German, French and Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -186,10 +188,10 @@ def fit(frame: pd.DataFrame, max_features: int, min_documents: int, l2: float, s
     return pd.DataFrame({"feature": np.append(vocab, [-1, -2, -3, -4]), "weight": np.append(w[:-2], [w[-2], w[-1] / 5, swap.n, gap])})
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_features: int = 3000, min_documents: int = 4, l2: float = 3e-5, swap_penalty: float = 1.0, steps: int = 300, identity_terms: tuple = IDENTITY_TERMS, max_rows: int = 20_000) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_features: int = 3000, min_documents: int = 4, l2: float = 3e-5, swap_penalty: float = 1.0, steps: int = 300, identity_terms: tuple = IDENTITY_TERMS, max_texts: int = 2) -> dict[int, float]:
     """The model as feature -> weight, at most max_features + 4 entries. Callers pass only the labels to learn from.
 
-    The sample is bounded by max_toxic + max_clean documents, so it is broadcast to meet the texts, and by max_rows rows; class weights restore the
+    The sample is bounded by max_toxic + max_clean documents, so it is broadcast to meet the texts, and at most max_texts rows of each; class weights restore the
     proportions of all labels. The fit itself runs in one task over that bounded sample.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -198,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not n.get(0) or not n.get(1):
         return {-1: 30.0 if n.get(1) else -30.0, -2: 0.0}
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    sample = sample.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
+    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    sample = sample.withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= max_texts).drop("_at")
     rows = sample.mapInPandas(_extract(identity_terms), "doc_id long, copy int, label int, weight double, length double, features array<int>, counts array<double>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +220,7 @@ class _Known(dict):
         self.model = model
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = tuple(f for f in word_features(word) if f in self.model)
         return out
@@ -237,9 +240,9 @@ def score(docs: DataFrame, model: dict[int, float], text_col: str = "text", out_
     """`docs` with a score of 0 to 1 for every whole text."""
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        known = _Known(model)
-        return pa.array([score_text(t.as_py() or "", model, known) for t in texts], pa.float64())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _Known(model)  # kept for all batches of a task
+        yield from lean(lambda parts: (pa.array([score_text(t.as_py() or "", model, known) for t in texts], pa.float64()) for texts in parts))(batches)
 
     return docs.withColumn(out_col, scored(F.col(text_col).cast("string")))
 
