@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from . import ngram_join
 from .common import lean, stored
 from .linking import Likeness, link_components, only
-from .shingles import char_shingles, mix64
+from .shingles import char_shingles, folded, mix64, sorted_set
 
 _U = np.uint64
 WIDTH, BANDS, ROWS = 6, 14, 4
 _BINS = BANDS * ROWS
 #: Code points of a block of lines; a line's row in it has 20 bits.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 _SEEN = 250_000
+#: Bytes of the lines of pairs that are compared at once.
+_PAIRS = 1 << 17
 _STRIP = " \t\n\x0b\x0c\r"
 #: The seed of Spark's xxhash64, so a line has one id in Python and in SQL.
 _SEED = 42
@@ -41,21 +44,34 @@ _SEED = 42
 
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of bin minima for every line (one-permutation hashing); empty bins take the next full one's value."""
+    return _signed(lines)[0]
+
+
+def _signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, and the size of each line's set: 0 (not known) for lines with code points that are folded."""
     lines = [x.ljust(WIDTH, "\0") for x in lines]  # a shorter line is one shingle
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(x) for x in lines])
+    ends = np.cumsum(length)
+    high = np.maximum.reduceat(points, ends - length) > 1023
     # Ten bits a code point, exact below 1024: six of them are one number.
-    points = (points ^ (points >> _U(10)) * _U(37)) & _U(1023)
+    points = ((points ^ (points >> np.uint32(10)) * np.uint32(37)) & np.uint32(1023)).astype(_U)
     two = points[:-1] | points[1:] << _U(10)
-    rolled = two[:-4] | two[2:-2] << _U(20) | two[4:] << _U(40)
-    length = np.array([len(x) for x in lines])
-    count = length - WIDTH + 1
-    row = np.repeat(np.arange(len(lines)), count)
-    value = rolled[np.arange(len(row)) + row * (WIDTH - 1)] * _U(0x9E3779B97F4A7C15)
-    value ^= value >> _U(32)
-    value *= _U(0xD6E8FEB86659FD93)
-    value ^= value >> _U(29)
-    slot = (value >> _U(32)) * _U(_BINS) >> _U(32)
-    packed = np.sort(row.astype(_U) << _U(44) | slot << _U(38) | value & _U((1 << 38) - 1))
+    inside = np.ones(len(points), bool)
+    for k in range(1, WIDTH):
+        inside[ends - k] = False
+    packed = (two[:-4] | two[2:-2] << _U(20) | two[4:] << _U(40))[inside[: 1 - WIDTH]]
+    packed *= _U(0x9E3779B97F4A7C15)
+    packed ^= packed >> _U(32)
+    packed *= _U(0xD6E8FEB86659FD93)
+    packed ^= packed >> _U(29)
+    slot = ((packed >> _U(32)) * _U(_BINS) >> _U(32)) << _U(38)
+    packed &= _U((1 << 38) - 1)
+    packed |= slot
+    packed |= np.repeat(np.arange(len(lines), dtype=_U) << _U(44), length - WIDTH + 1)
+    packed.sort()
+    own = (packed[np.concatenate(([True], packed[1:] != packed[:-1]))] >> _U(44)).astype(np.int64)
+    size = np.where(high, 0, np.bincount(own, minlength=len(lines)))
     at = packed >> _U(38)
     head = np.concatenate(([True], at[1:] != at[:-1]))
     at = ((at >> _U(6)) * _U(_BINS) + (at & _U(63)))[head].astype(np.int64)
@@ -67,7 +83,7 @@ def signatures(lines: list[str]) -> np.ndarray:
     nxt = np.where(np.concatenate([full, full], axis=1), np.arange(2 * _BINS, dtype=np.int32), np.int32(4 * _BINS))
     nxt = np.minimum.accumulate(nxt[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
     step = nxt - np.arange(_BINS, dtype=np.int32)
-    return np.take_along_axis(flat.reshape(-1, _BINS), nxt % _BINS, axis=1) + step.astype(_U) * _U(0x9E3779B97F4A7C15)
+    return np.take_along_axis(flat.reshape(-1, _BINS), nxt % _BINS, axis=1) + step.astype(_U) * _U(0x9E3779B97F4A7C15), size
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -80,13 +96,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, 0) of every line that this task hasn't keyed yet."""
+    """(key, id, size of the set or 0) of every line that this task hasn't keyed yet."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
 
     def keyed(lines: list[str], ids: list[int]) -> pa.RecordBatch:
-        keys = band_keys(signatures(lines))
+        found, sizes = _signed(lines)
         ids = np.repeat(np.array(ids, _U).view(np.int64), BANDS)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(np.zeros(len(ids), np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(band_keys(found).ravel()), pa.array(ids), pa.array(np.repeat(sizes, BANDS).astype(np.int32))], schema=schema)
 
     seen: set[int] = set()
     lines, ids, size = [], [], 0
@@ -129,7 +145,44 @@ def linked(x: bytes, y: bytes) -> bool:
     return 4 * both >= 3 * (len(a) + len(b) - both) > 0
 
 
-LIKENESS = Likeness(ngram_join.fits, linked, lambda line: char_shingles(line, WIDTH), ngram_join.slack)
+def _maybe(x: list[str], y: list[str]) -> np.ndarray:
+    """Which pairs of lines hashes of their shingles don't rule out; two shingles may collide."""
+    k = len(x)
+    lines = [z.ljust(WIDTH, "\0") for z in x + y]
+    length = np.array([len(z) for z in lines])
+    inside, ends = np.ones(int(length.sum()), bool), np.cumsum(length)
+    for at in range(1, WIDTH):
+        inside[ends - at] = False
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    value = folded(mix64(points + _U(1)), WIDTH)[inside[: 1 - WIDTH]] >> _U(20)
+    each = sorted_set(value | np.repeat(np.arange(2 * k, dtype=_U) << _U(44), length - WIDTH + 1))
+    row = (each >> _U(44)).astype(np.int64)
+    size = np.bincount(row, minlength=2 * k)
+    each = np.sort(each & _U((1 << 44) - 1) | (row % k).astype(_U) << _U(44))
+    both = np.bincount((each[1:][each[1:] == each[:-1]] >> _U(44)).astype(np.int64), minlength=k)
+    return 4 * (both + 2) >= 3 * (size[:k] + size[k:] - both - 2)
+
+
+def linked_rows(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """`linked` of every row: hashes rule most pairs out, the shingles themselves decide on the others."""
+    out = np.zeros(len(x), bool)
+    ends = np.cumsum(pc.add(pc.binary_length(x), pc.binary_length(y)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        a, b = x.slice(at, to - at).to_pylist(), y.slice(at, to - at).to_pylist()
+        for k in np.flatnonzero(_maybe([z.decode("utf-8", "surrogatepass") for z in a], [z.decode("utf-8", "surrogatepass") for z in b])).tolist():
+            out[at + k] = linked(a[k], b[k])
+        at = to
+    return out
+
+
+def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines with sets of these sizes can be linked; 0 is a size that isn't known."""
+    return ngram_join.fits(a, b) | (np.minimum(a, b) == 0)
+
+
+LIKENESS = Likeness(fits, linked, lambda line: char_shingles(line, WIDTH), ngram_join.slack, linked_rows)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

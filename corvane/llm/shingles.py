@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix64(out), np.searchsorted(starts, bounds)
 
 
-def _folded(words: np.ndarray, width: int) -> np.ndarray:
+def folded(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of every run of `width` words."""
     n = len(words) - width + 1
     out = np.zeros(n, _U)
@@ -104,13 +104,13 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     for part in _slices(column, 4 * _BLOCK):
         data, bounds = buffers(part)
         words, at = word_hashes(data, bounds)
-        runs = _folded(words, width) if len(words) >= width else np.zeros(0, _U)
+        runs = folded(words, width) if len(words) >= width else np.zeros(0, _U)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             n = b - a
             if n >= width:
                 yield sorted_set(runs[a : b - width + 1])
             elif n:
-                yield _folded(words[a:b], n)
+                yield folded(words[a:b], n)
             else:
                 yield np.zeros(0, _U)
 
@@ -118,7 +118,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 def char_shingles(data: bytes, width: int) -> np.ndarray:
     """The sorted set of hashes of a line's runs of `width` code points (fewer: the whole line as one)."""
     points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(_U)
-    return sorted_set(_folded(mix64(points + _U(1)), min(width, len(points)))) if len(points) else np.zeros(0, _U)
+    return sorted_set(folded(mix64(points + _U(1)), min(width, len(points)))) if len(points) else np.zeros(0, _U)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

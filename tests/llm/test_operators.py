@@ -274,6 +274,28 @@ def test_lines_are_keyed_alike_in_any_block(monkeypatch):
     assert keyed() == want
 
 
+def test_pairs_of_lines_at_once_and_sizes(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    x, y = ["a", "a", "abcde", "ab" * 40, "", "中文中文中文字典测试", "𝔘ab" * 9], ["a", "b", "abcdef", "ab" * 41, "", "中文中文中文字典测试吗", "𝔘ab" * 8]
+    for _ in range(300):
+        line = [rng.choice("abcdé 中") for _ in range(rng.randrange(1, 120))]
+        x.append("".join(line))
+        for _ in range(rng.randrange(4)):
+            line[rng.randrange(len(line))] = rng.choice("xyz")
+        y.append("".join(line))
+    known = [4 * len(char_set(a) & char_set(b)) >= 3 * len(char_set(a) | char_set(b)) for a, b in zip(x, y, strict=True)]
+    columns = [pa.array([z.encode() for z in side], pa.binary()) for side in (x, y)]
+    assert 0 < sum(known) < len(known)
+    for size in (1 << 17, 1, 500):
+        monkeypatch.setattr(line_dedup, "_PAIRS", size)
+        assert line_dedup.linked_rows(*columns).tolist() == known
+    lines = [z for z in x + y if z]
+    for z, n in zip(lines, line_dedup._signed(lines)[1].tolist(), strict=True):
+        assert n == (0 if max(map(ord, z)) > 1023 else len(char_set(z)))
+
+
 def test_line_ids_are_those_of_spark(spark):
     rows = spark.createDataFrame([(" a line \nünï 𝔘\n\t\nlast\r",)], "text string")
     got = {r["line"]: r["id"] for r in line_dedup._lines(rows).selectExpr("line", "xxhash64(line) as id").collect()}
