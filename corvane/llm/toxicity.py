@@ -100,15 +100,19 @@ def swaps(words: Counter, terms: tuple, seed: int) -> list[tuple[Counter, Counte
     return out
 
 
+#: Documents whose features a worker holds at once.
+_ROWS = 64
+
+
 def _extract(terms: tuple):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[k : k + _ROWS] for f in frames for k in range(0, len(f), _ROWS)):
             rows = []
             for doc_id, label, weight, text in zip(frame["doc_id"], frame["label"], frame["weight"], frame["text"], strict=True):
                 words = Counter(_WORD.findall((text or "").lower()))
                 features, counts = _counts(words)
                 length = sum(words.values())
-                rows.append((doc_id, 0, label, weight, math.log1p(length), features, counts))
+                rows.append((doc_id, 0, label, weight, math.log1p(length), np.array(features, np.int32), np.array(counts, float)))
                 held = dict(zip(features, counts, strict=True))
                 for k, (gone, come) in enumerate(swaps(words, terms, zlib.crc32(str(doc_id).encode())), 1):
                     # Of a copy, what changes: the step of every feature's value.
@@ -118,7 +122,7 @@ def _extract(terms: tuple):
                             changed[f] += sign * n
                     steps = [(f, math.log1p(held.get(f, 0.0) + n) - math.log1p(held.get(f, 0.0))) for f, n in changed.items() if n]
                     longer = math.log1p(length + sum(come.values()) - sum(gone.values())) - math.log1p(length)
-                    rows.append((doc_id, k, label, weight, longer, [f for f, _ in steps], [v for _, v in steps]))
+                    rows.append((doc_id, k, label, weight, longer, np.array([f for f, _ in steps], np.int32), np.array([v for _, v in steps], float)))
             yield pd.DataFrame(rows, columns=["doc_id", "copy", "label", "weight", "length", "features", "counts"])
 
     return run
@@ -148,16 +152,18 @@ def fit(frame: pd.DataFrame, max_features: int, min_documents: int, l2: float, s
     wt = wt / wt.sum()
     flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in plain["features"]] or [np.zeros(0, np.int64)])
     owner = np.repeat(np.arange(len(plain)), [len(x) for x in plain["features"]])
-    pos = np.bincount(flat, (wt * y)[owner], 1 << _BITS)
-    neg = np.bincount(flat, (wt * (1 - y))[owner], 1 << _BITS)
     df = np.bincount(flat, minlength=1 << _BITS)
+    often = np.flatnonzero(df >= min_documents)  # arrays of every possible feature are held one at a time
+    del df
+    pos = np.bincount(flat, (wt * y)[owner], 1 << _BITS)[often]
+    neg = np.bincount(flat, (wt * (1 - y))[owner], 1 << _BITS)[often]
+    del flat, owner
     p1, p0 = max((wt * y).sum(), 1e-9), max((wt * (1 - y)).sum(), 1e-9)
     a, b = pos / p1, neg / p0
     rank = np.abs(a - b) / np.sqrt((a * (1 - a)).clip(0) / max(y.sum(), 1) + (b * (1 - b)).clip(0) / max((1 - y).sum(), 1) + 1e-4)
-    rank[df < min_documents] = 0
-    vocab = np.sort(np.argsort(-rank, kind="stable")[:max_features])
-    vocab = vocab[rank[vocab] > 0]
-    slot = np.full(1 << _BITS, -1, np.int64)
+    best = np.sort(np.argsort(-rank, kind="stable")[:max_features])
+    vocab = often[best[rank[best] > 0]]
+    slot = np.full(1 << _BITS, -1, np.int32)
     slot[vocab] = np.arange(len(vocab))
     width = len(vocab) + 2
 
@@ -202,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     sample = sample.withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= max_texts).drop("_at")
-    rows = sample.mapInPandas(_extract(identity_terms), "doc_id long, copy int, label int, weight double, length double, features array<int>, counts array<double>")
+    rows = sample.mapInPandas(lean(_extract(identity_terms)), "doc_id long, copy int, label int, weight double, length double, features array<int>, counts array<double>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
@@ -210,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield fit(pd.concat(got), max_features, min_documents, l2, swap_penalty, steps)
 
     fitted = rows.coalesce(1) if docs.sparkSession.sparkContext.defaultParallelism == 1 else rows.repartition(1)
-    return {int(r["feature"]): float(r["weight"]) for r in fitted.mapInPandas(run, "feature long, weight double").collect()} or {-1: -30.0, -2: 0.0}
+    return {int(r["feature"]): float(r["weight"]) for r in fitted.mapInPandas(lean(run), "feature long, weight double").collect()} or {-1: -30.0, -2: 0.0}
 
 
 class _Known(dict):
