@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from .common import lean, stored
-from .linking import Likeness, link_components, only
+from .common import stored
+from .linking import Likeness, blocks, link_components, only
 from .shingles import char_shingles, folded, mix64, sorted_set
 
 _U = np.uint64
@@ -189,7 +189,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, mark, line_no) of every line that goes; mark is xxhash64 of the text, line_no counts from 0."""
     text = F.col(text_col).cast("string")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    keys = slim.select("text").mapInArrow(lean(_keyed), "key long, id long, n int")
+    keys = blocks(slim.select("text"), _keyed)
 
     def bodies(ids: DataFrame) -> DataFrame:
         every = _lines(slim).select(F.xxhash64("line").alias("id"), F.col("line").cast("binary").alias("body"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, lean, stored
+from .shingles import buffers, mix64
 
 #: Buckets of fewer ids are expanded into pairs: a constant number a row.
 SMALL = 8
@@ -103,12 +104,60 @@ def _heads(key: np.ndarray) -> np.ndarray:
 
 
 _MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+#: A row of a bucket in a block.
+_RECORD = np.dtype([("key", "<i8"), ("id", "<i8"), ("n", "<i4")])
+#: Rows that are dealt to blocks at once, and rows of one slot that are held before its large buckets go out.
+_DEALT, _HELD = 1 << 15, 1 << 19
+#: Bytes of input a slot, and the least and most slots.
+_SLOT_BYTES, _SLOTS = 1 << 20, (1 << 9, 1 << 22)
+
+
+def _packed(keyed: Callable, slots: int):
+    """The rows (key, id, n) of `keyed` as blocks (slot, rows): a key's rows are all of one slot, a power of two of them."""
+    bits = slots.bit_length() - 1
+    schema = pa.schema([("slot", pa.int64()), ("rows", pa.binary())])
+
+    def block(held: list) -> pa.RecordBatch:
+        key, ids, n = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(3))
+        slot = mix64(key.view(_U)) >> _U(64 - bits)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order].view(np.int64)
+        rows = np.empty(len(key), _RECORD)
+        rows["key"], rows["id"], rows["n"] = key[order], ids[order], n[order]
+        first = _heads(slot)
+        ends = (np.append(first, len(slot)) * _RECORD.itemsize).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(rows)])], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for whole in keyed(batches):
+            for k in range(0, whole.num_rows, _DEALT):
+                held.append(whole.slice(k, _DEALT))
+                size += held[-1].num_rows
+                if size >= _DEALT:
+                    yield block(held)
+                    held, size = [], 0
+        if size:
+            yield block(held)
+
+    return run
 
-def _split(fits: Callable, small: int):
-    """Of sorted (key, id, n): pairs (null, a, b, null) of small buckets, rows (key, id, null, n) of larger ones; single ids go.
 
-    Runs stream: of a bucket that is already known to be large nothing is held.
+def blocks(rows: DataFrame, keyed: Callable) -> DataFrame:
+    """(slot, rows): what `keyed` makes of the batches of `rows`, (key, id, n) with n the set size or 0, packed for a shuffle.
+
+    Slots follow the size that the plan states for its input, so a slot's rows fit a task whatever the input; a wrong size
+    changes cost only.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    slots = 1 << (min(max(size // _SLOT_BYTES, _SLOTS[0]), _SLOTS[1]) - 1).bit_length()
+    return rows.mapInArrow(lean(_packed(keyed, slots)), "slot long, rows binary")
+
+
+def _split(fits: Callable, small: int, most: int = _HELD):
+    """Of blocks sorted by slot: pairs (null, a, b, null) of small buckets, rows (key, id, null, n) of larger ones; single ids go.
+
+    Slots stream. Of one that holds more than `most` rows, buckets go out as soon as they are known to be large.
     """
 
     def pairs(ids: np.ndarray, n: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -124,67 +173,75 @@ def _split(fits: Callable, small: int):
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int32())], schema=_MET)
 
-    def rows(key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(n.astype(np.int32))], schema=_MET)
+    def rows(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x["key"].copy()), pa.array(x["id"].copy()), pa.nulls(len(x), pa.int64()), pa.array(x["n"].copy())], schema=_MET)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last run so far
-        large = None  # the last run's key, if its first rows are out
-        seen: set[int] = set()  # its ids that are out
-        for batch in _closed(batches):
-            done = batch is None
-            key, ids, n = (batch.column(k).to_numpy() for k in range(3)) if not done else (np.zeros(0, np.int64),) * 3
-            if large is not None and not done:
-                upto = int(np.searchsorted(key, large, side="right"))
-                more, at = np.unique(ids[:upto], return_index=True)
-                new = at[[i not in seen for i in more.tolist()]] if upto else at
-                if len(new):
-                    yield rows(key[new], ids[new], n[new])
-                    if len(seen) < 1_000_000:  # beyond that an id may come twice, which changes nothing
-                        seen.update(more.tolist())
-                if upto == len(key):
-                    continue
-                key, ids, n = key[upto:], ids[upto:], n[upto:]
-                large, seen = None, set()
-            if held is not None:
-                key, ids, n = (np.concatenate(x) for x in zip(held, (key, ids, n), strict=True))
-                held = None
-            if not len(key):
-                continue
-            # Keys of one row go, but the last, which may go on; equal (key, id) rows are one.
+    def distinct(x: np.ndarray, lone: bool) -> np.ndarray:
+        """The records by key and id, equal ones once; without `lone` those of keys that no other record has go."""
+        order = np.argsort(x["key"])
+        if not lone:
+            key = x["key"][order]
             same = key[1:] == key[:-1]
-            keep = np.concatenate((same, [not done])) | np.concatenate(([False], same))
-            key, ids, n = key[keep], ids[keep], n[keep]
-            if not len(key):
+            order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        x = x[order]
+        x = x[np.lexsort((x["id"], x["key"]))]
+        return x[np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["id"][1:] != x["id"][:-1])))] if len(x) else x
+
+    def sizes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = _heads(x["key"])
+        return first, np.diff(np.append(first, len(x)))
+
+    def decided(x: np.ndarray, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the records of whole slots; buckets of the keys `large` have begun to go out."""
+        begun = np.isin(x["key"], large) if len(large) else np.zeros(len(x), bool)
+        if begun.any():
+            yield rows(distinct(x[begun], True))  # an id may come twice, which changes nothing
+            x = x[~begun]
+        x = distinct(x, False)
+        first, size = sizes(x)
+        few, many = (size > 1) & (size < small), np.repeat(size >= small, size)
+        if few.any():
+            yield pairs(x["id"], x["n"], first[few], size[few])
+        if many.any():
+            yield rows(x[many])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        slot, held, size, large, limit = None, [], 0, none, most
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            order = np.lexsort((ids, key))
-            key, ids, n = key[order], ids[order], n[order]
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
-            key, ids, n = key[fresh], ids[fresh], n[fresh]
-            first = _heads(key)
-            size = np.diff(np.append(first, len(key)))
-            if not done and size[-1] < small:
-                cut = int(first[-1])
-                held = (key[cut:], ids[cut:], n[cut:])
-                first, size = first[:-1], size[:-1]
-            elif not done:
-                large, seen = key[-1], set(ids[first[-1] :].tolist())
-            few, many = (size > 1) & (size < small), size >= small
-            if few.any():
-                yield pairs(ids, n, first[few], size[few])
-            if many.any():
-                at = np.repeat(first[many], size[many]) + (np.arange(int(size[many].sum())) - np.repeat(np.cumsum(size[many]) - size[many], size[many]))
-                yield rows(key[at], ids[at], n[at])
+            slots = batch.column(0).to_numpy()
+            data, bounds = buffers(batch.column(1))
+            found = data.view(_RECORD)
+            cut = int(np.searchsorted(slots, slots[-1]))  # the last slot may go on
+            at = int(bounds[cut]) // _RECORD.itemsize
+            if cut or slots[0] != slot:
+                if size + at:
+                    yield from decided(np.concatenate([*held, found[:at]]), large)
+                slot, held, size, large, limit = slots[-1], [], 0, none, most
+            held.append(found[at:].copy())
+            size += len(held[-1])
+            if size > limit:
+                x = np.concatenate(held)
+                begun = np.isin(x["key"], large) if len(large) else np.zeros(len(x), bool)
+                if begun.any():
+                    yield rows(distinct(x[begun], True))
+                x = distinct(x[~begun], True)
+                first, count = sizes(x)
+                many = np.repeat(count >= small, count)
+                if many.any():
+                    yield rows(x[many])
+                large = np.union1d(large, x["key"][first[count >= small]])
+                held = [x[~many]]
+                size = len(held[0])
+                limit = max(most, 2 * size)
+        if size:
+            yield from decided(np.concatenate(held), large)
 
     return run
 
 
-def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches that have rows, and None at their end."""
-    yield from (b for b in batches if b.num_rows)
-    yield None
-
-
 def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, center): of every bucket its first member, for the members of other components. Sorted by key."""
     schema = pa.schema([("id", pa.int64()), ("center", pa.int64())])
@@ -423,10 +480,11 @@ def _fine(like: Likeness, bits_each: int):
 def link_components(keys: DataFrame, like: Likeness, bodies: Callable[[DataFrame], DataFrame], coarse: DataFrame | None = None, small: int = SMALL, tile: int = TILE, bits_each: int = 16) -> DataFrame:
     """(id, component_id) of everything that is linked; component_id is the smallest id reachable.
 
-    keys: (key, id, n) with n the set size, or 0 where it isn't known yet. bodies: gives (id, body) for a stored frame of
-    ids. coarse: stored (id, n, sketch), to rule out pairs before their bodies are read.
+    keys: (key, id, n) with n the set size, or 0 where it isn't known yet, or `blocks` of them. bodies: gives (id, body) for a
+    stored frame of ids. coarse: stored (id, n, sketch), to rule out pairs before their bodies are read.
     """
-    dealt = keys.repartition("key").sortWithinPartitions("key")
+    packed = keys if "slot" in keys.columns else blocks(keys, lambda rows: rows)
+    dealt = packed.repartition("slot").sortWithinPartitions("slot")
     met = stored(dealt.mapInArrow(lean(_split(like.fits, small)), "key long, a long, b long, n int"), "met")
     links: list[DataFrame] = []
     if coarse is None:  # nothing rules out a pair before its bodies are read, so those of all ids that met are

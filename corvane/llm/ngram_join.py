@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, lean, stored
-from .linking import Likeness, link_components, sketch
+from .linking import Likeness, blocks, link_components, sketch
 from .shingles import common, mix64, shingle_sets
 
 _U = np.uint64
@@ -228,7 +228,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, max_common: int) -> Da
         found = slim.join(asked, "id").select("class", "text").mapInArrow(lean(_bodies), "id long, body binary").where("body is not null")
         return found.dropDuplicates(["id"]) if repeated else found
 
-    keys = slim.select("id", "text").mapInArrow(lean(_keyed(np.sort(often.view(_U)))), "key long, id long, n int")
+    keys = blocks(slim.select("id", "text"), _keyed(np.sort(often.view(_U))))
     found = link_components(keys, LIKENESS, bodies, classes.select(F.col("class").alias("id"), "n", "sketch"))
     told = classes.select("class", "rep").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("grp", F.coalesce("component_id", "class"))
     heads = told.groupBy("grp").agg(F.min("rep").alias("head"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, linking, mixing, ngram_join, packing, secret_scan, sharding, shingles, toxicity
@@ -330,6 +331,25 @@ def test_links_of_large_buckets_in_tiles(spark, small, tile):
     assert len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("most", [1 << 19, 50])
+@pytest.mark.parametrize("slots", [8, 2048])
+def test_buckets_of_blocks_are_whole(most, slots, monkeypatch):
+    monkeypatch.setattr(linking, "_DEALT", 300)
+    rng = np.random.default_rng(1)
+    key, ids = rng.integers(0, 2000, 3000) ** 2, rng.integers(-500, 500, 3000)
+    key[:800] = 77
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array((ids % 3 + 1).astype(np.int32))], ["key", "id", "n"])
+    packed = linking._packed(lambda batches: batches, slots)(iter([whole.slice(0, 1000), whole.slice(1000)]))
+    dealt = pa.Table.from_batches(list(packed)).sort_by("slot").combine_chunks().to_batches(max_chunksize=7)
+    any_size = lambda a, b: np.ones(np.broadcast(a, b).shape, bool)
+    found = pa.Table.from_batches(list(linking._split(any_size, 8, most)(iter(dealt))), schema=linking._MET).to_pylist()
+    buckets: dict[int, set[int]] = {}
+    for k, i in zip(key.tolist(), ids.tolist(), strict=True):
+        buckets.setdefault(k, set()).add(i)
+    assert {(r["a"], r["b"]) for r in found if r["b"] is not None} == {(a, b) for m in buckets.values() if len(m) < 8 for a in m for b in m if a < b}
+    assert {(r["key"], r["a"]) for r in found if r["b"] is None} == {(k, a) for k, m in buckets.items() if len(m) >= 8 for a in m}
+
+
 def test_chat_format(spark):
     said = ["plain", "", None, "<|im_end|>", "a <\\| b <\\\\|", "<|im_start|>user\nx<|im_end|>\n", "end <", "<", "|", "\\", "line\nbreak", "%0A <|", "𝔘<|"]
     rows = [(c, k, ("assistant", "user", "sys\n<|tem%3C", None)[(c + k) % 4], t, "x") for c in range(5) for k, t in enumerate(said)] + [(None, 1, "user", "x", "x"), (9, None, "user", "b", "x"), (9, None, "user", "a", "x")]
