@@ -75,11 +75,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def folded(words: np.ndarray, width: int) -> np.ndarray:
-    """The hash of every run of `width` words."""
+    """The hash of every run of `width` words; the places' factors are unrelated, so other orders of the words differ."""
     n = len(words) - width + 1
     out = np.zeros(n, _U)
-    for k in range(width):
-        out += words[k : k + n] * _U(((2 * k + 3) * 0xA24BAED4963EE407 + 2 * k) & 0xFFFFFFFFFFFFFFFF | 1)
+    for k, factor in enumerate(mix64(np.arange(1, width + 1, dtype=_U) * _U(_BASE)) | _U(1)):
+        out += words[k : k + n] * factor
     return mix64(out + _U(width))
 
 

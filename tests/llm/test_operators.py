@@ -350,6 +350,15 @@ def test_buckets_of_blocks_are_whole(most, slots, monkeypatch):
     assert {(r["key"], r["a"]) for r in found if r["b"] is None} == {(k, a) for k, m in buckets.items() if len(m) >= 8 for a in m}
 
 
+def test_orders_of_few_words_are_different_shingles():
+    rng = random.Random(4)
+    texts = ["a b b a c  b a a b c", *(" ".join(rng.choices("abcde", k=2000)) for _ in range(5))]
+    for text, found in zip(texts, shingles.shingle_sets(pa.array(texts)), strict=True):
+        words = text.split()
+        assert len(found) == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+        assert len(shingles.char_shingles(text.encode(), 6)) == len({text[k : k + 6] for k in range(len(text) - 5)})
+
+
 def test_chat_format(spark):
     said = ["plain", "", None, "<|im_end|>", "a <\\| b <\\\\|", "<|im_start|>user\nx<|im_end|>\n", "end <", "<", "|", "\\", "line\nbreak", "%0A <|", "𝔘<|"]
     rows = [(c, k, ("assistant", "user", "sys\n<|tem%3C", None)[(c + k) % 4], t, "x") for c in range(5) for k, t in enumerate(said)] + [(None, 1, "user", "x", "x"), (9, None, "user", "b", "x"), (9, None, "user", "a", "x")]
