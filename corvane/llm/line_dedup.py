@@ -37,6 +37,8 @@ _BLOCK = 1 << 17
 _SEEN = 250_000
 #: Bytes of the lines of pairs that are compared at once.
 _PAIRS = 1 << 17
+#: Bits of the largest sketch of a line.
+_MOST_BITS = 1 << 16
 _STRIP = " \t\n\x0b\x0c\r"
 #: The seed of Spark's xxhash64, so a line has one id in Python and in SQL.
 _SEED = 42
@@ -145,17 +147,47 @@ def linked(x: bytes, y: bytes) -> bool:
     return 4 * both >= 3 * (len(a) + len(b) - both) > 0
 
 
-def _maybe(x: list[str], y: list[str]) -> np.ndarray:
-    """Which pairs of lines hashes of their shingles don't rule out; two shingles may collide."""
-    k = len(x)
-    lines = [z.ljust(WIDTH, "\0") for z in x + y]
+def _hashed(lines: list[str]) -> np.ndarray:
+    """Of fewer than 2^20 lines the distinct shingles, sorted: the line's place and 44 bits of a hash; two shingles may collide."""
+    lines = [z.ljust(WIDTH, "\0") for z in lines]
     length = np.array([len(z) for z in lines])
     inside, ends = np.ones(int(length.sum()), bool), np.cumsum(length)
     for at in range(1, WIDTH):
         inside[ends - at] = False
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
     value = folded(mix64(points + _U(1)), WIDTH)[inside[: 1 - WIDTH]] >> _U(20)
-    each = sorted_set(value | np.repeat(np.arange(2 * k, dtype=_U) << _U(44), length - WIDTH + 1))
+    return sorted_set(value | np.repeat(np.arange(len(lines), dtype=_U) << _U(44), length - WIDTH + 1))
+
+
+def sketched_rows(column: pa.Array) -> tuple[list[int], list[bytes]]:
+    """The set sizes and parity sketches of lines, many at once: a power of two of bits, one to two a member, 64 at least."""
+    sizes, sketches = [], []
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        each = _hashed([z.decode("utf-8", "surrogatepass") for z in column.slice(at, to - at).to_pylist()])
+        row = (each >> _U(44)).astype(np.int64)
+        size = np.bincount(row, minlength=to - at)
+        bits = np.array([min(_MOST_BITS, max(64, 1 << (n - 1).bit_length())) for n in size.tolist()])
+        start = np.cumsum(bits) - bits
+        odd = np.bincount(start[row] + (each.astype(np.int64) & (bits - 1)[row]), minlength=int(bits.sum())) & 1
+        packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+        sizes += size.tolist()
+        sketches += [packed[a : a + n] for a, n in zip((start >> 3).tolist(), (bits >> 3).tolist(), strict=True)]
+        at = to
+    return sizes, sketches
+
+
+def slack(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The greatest symmetric difference of linked lines, and two more for a shingle that collides with another of its line."""
+    return ngram_join.slack(n, m) + 2
+
+
+def _maybe(x: list[str], y: list[str]) -> np.ndarray:
+    """Which pairs of lines hashes of their shingles don't rule out; two shingles may collide."""
+    k = len(x)
+    each = _hashed(x + y)
     row = (each >> _U(44)).astype(np.int64)
     size = np.bincount(row, minlength=2 * k)
     each = np.sort(each & _U((1 << 44) - 1) | (row % k).astype(_U) << _U(44))
@@ -182,7 +214,7 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ngram_join.fits(a, b) | (np.minimum(a, b) == 0)
 
 
-LIKENESS = Likeness(fits, linked, lambda line: char_shingles(line, WIDTH), ngram_join.slack, linked_rows)
+LIKENESS = Likeness(fits, linked, lambda line: char_shingles(line, WIDTH), slack, linked_rows, sketched_rows)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

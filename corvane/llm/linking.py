@@ -52,6 +52,9 @@ class Likeness:
     slack: Callable[[np.ndarray, np.ndarray], np.ndarray]
     #: `linked` of two columns of bodies at once, if there is a faster way than one pair after another.
     linked_rows: Callable[[pa.Array, pa.Array], np.ndarray] | None = None
+    #: The set sizes and `sketch` (a bit a member) of a column of bodies at once, if there is a faster way; a rare collision of
+    #: members may be allowed for by `slack`.
+    sketched_rows: Callable[[pa.Array], tuple[list[int], list[bytes]]] | None = None
 
 
 def sketch(found: np.ndarray, bits_each: int = 1, most: int = 1 << 16) -> bytes:
@@ -465,13 +468,16 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _fine(like: Likeness, bits_each: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
 
+    def one_by_one(bodies: pa.Array) -> tuple[list[int], list[bytes]]:
+        sets = (like.members(body.as_py()) for body in bodies)
+        found = [(len(x), sketch(x, bits_each)) for x in sets]
+        return [n for n, _ in found], [x for _, x in found]
+
+    every = like.sketched_rows if bits_each == 1 and like.sketched_rows else one_by_one
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sketches = [], []
-            for body in batch.column(1):
-                found = like.members(body.as_py())
-                n.append(len(found))
-                sketches.append(sketch(found, bits_each))
+            n, sketches = every(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sketches, pa.binary())], schema=schema)
 
     return run
@@ -487,10 +493,11 @@ def link_components(keys: DataFrame, like: Likeness, bodies: Callable[[DataFrame
     dealt = packed.repartition("slot").sortWithinPartitions("slot")
     met = stored(dealt.mapInArrow(lean(_split(like.fits, small)), "key long, a long, b long, n int"), "met")
     links: list[DataFrame] = []
-    if coarse is None:  # nothing rules out a pair before its bodies are read, so those of all ids that met are
+    if coarse is None:  # the bodies of all ids that met are read once, and their sketches rule out most pairs
         ids = met.select(F.col("a").alias("id")).unionByName(met.where("b is not null").select(F.col("b").alias("id"))).distinct()
         every = stored(bodies(stored(ids, "ids")), "bodies")
         bodies = lambda ids: only(every, ids)
+        coarse = stored(every.mapInArrow(lean(_fine(like, 1)), "id long, n int, sketch binary"), "sketches")
 
     def check(pairs: DataFrame, sketches: DataFrame | None) -> None:
         if sketches is not None:
@@ -538,8 +545,6 @@ def link_components(keys: DataFrame, like: Likeness, bodies: Callable[[DataFrame
 
     ddl = "key long, id long, side int, comp long"
     named = stored(mixed.select("id").distinct(), "ids")
-    if coarse is None:
-        coarse = sketched(named, 1)
     # Small sketches leave few rows; those get sketches that hardly let a pair pass that isn't linked.
     near = stored(compared(_tiles(mixed, tile), coarse, _contested, ddl), "near")
     discard(mixed, named)
