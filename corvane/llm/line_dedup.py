@@ -184,26 +184,29 @@ def slack(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return ngram_join.slack(n, m) + 2
 
 
-def _maybe(x: list[str], y: list[str]) -> np.ndarray:
-    """Which pairs of lines hashes of their shingles don't rule out; two shingles may collide."""
+def _maybe(x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of lines hashes of their shingles don't rule out, and which they prove; two shingles may collide."""
     k = len(x)
     each = _hashed(x + y)
     row = (each >> _U(44)).astype(np.int64)
     size = np.bincount(row, minlength=2 * k)
     each = np.sort(each & _U((1 << 44) - 1) | (row % k).astype(_U) << _U(44))
     both = np.bincount((each[1:][each[1:] == each[:-1]] >> _U(44)).astype(np.int64), minlength=k)
-    return 4 * (both + 2) >= 3 * (size[:k] + size[k:] - both - 2)
+    every = size[:k] + size[k:]
+    return 4 * (both + 2) >= 3 * (every - both - 2), 4 * (both - 2) >= 3 * (every - both + 2)
 
 
 def linked_rows(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """`linked` of every row: hashes rule most pairs out, the shingles themselves decide on the others."""
+    """`linked` of every row: hashes decide on most pairs, the shingles themselves on those near the limit."""
     out = np.zeros(len(x), bool)
     ends = np.cumsum(pc.add(pc.binary_length(x), pc.binary_length(y)).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(x):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
         a, b = x.slice(at, to - at).to_pylist(), y.slice(at, to - at).to_pylist()
-        for k in np.flatnonzero(_maybe([z.decode("utf-8", "surrogatepass") for z in a], [z.decode("utf-8", "surrogatepass") for z in b])).tolist():
+        may, sure = _maybe([z.decode("utf-8", "surrogatepass") for z in a], [z.decode("utf-8", "surrogatepass") for z in b])
+        out[at:to] = sure
+        for k in np.flatnonzero(may & ~sure).tolist():
             out[at + k] = linked(a[k], b[k])
         at = to
     return out
