@@ -9,7 +9,8 @@ more in part if `cut` is set, so the figures meet the targets; documents that ar
 
 Only the pattern table comes to the driver, and it is broadcast to meet the rows (its row count is checked against
 `max_patterns`). The cut of a pattern is found by a histogram of the seeded hash, so no pattern, however hot, is dealt to or
-sorted in one task.
+sorted in one task. Places in the order, not lists of rows, say what a prefix holds; the closing documents are chosen among a few
+rows of each size, which one pass keeps, so the number of passes over the rows doesn't depend on how many documents close a gap.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its own, last in order; equal
 doc_ids share a place in the order and are told apart by row; an empty table gives an empty result.
@@ -22,9 +23,10 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, discard, stored
 
 _BUCKETS_BITS = 16
+_PLACE = "struct<h: long, doc_id: long, row_id: long>"
 
 
 def source_targets(sizes: dict, weights: dict, max_repeat: int = 3) -> dict:
@@ -96,7 +98,7 @@ def size_in_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, max_broadcast: int = 1_000_000, keep: tuple[str, ...] = (), cut: bool = True) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 11, max_patterns: int = 100_000, keep: tuple[str, ...] = (), cut: bool = True) -> tuple[DataFrame, dict]:
     """Rows (doc_id, sources, size, taken, epochs, *keep) and the table source -> (size, target).
 
     `sources` is an array column; `weight_of(k)` is the weight of the k-th source in code point order (default 1, 2, 3, 1, ...).
@@ -133,34 +135,49 @@ def mix(docs: DataFrame, size: Column, sources: Column, weight_of=None, id_col:
         .where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min("bucket").alias("cut"), F.min(F.struct("bucket", F.expr("upto - n")))["col2"].alias("before"))
     )
     plan = spark.createDataFrame(plan.join(cuts, "pattern", "left").select("pattern", "epochs", "rest", "flow", "cut", "before").collect(), "pattern string, epochs long, rest long, flow long, cut int, before long")
-    rows = rows.join(F.broadcast(plan), "pattern", "left")
+    # Whole buckets before the cut; of the cut's bucket what comes no later than `last`: places tell what is taken, no list of rows.
+    place = F.struct("h", "doc_id", "row_id")
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "row_id")
-    at_cut = rows.where("bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(order)).where("_upto <= rest").select("row_id", "pattern", "size", F.lit(True).alias("_in"))
-    at_cut = stored(at_cut, "cut")
-    small = at_cut.count() <= max_broadcast
-    got = at_cut.groupBy("pattern").agg(F.sum("size").alias("_got"))
-    open_ones = plan.where("cut is not null").join(got, "pattern", "left").collect()
-    gaps = {r["pattern"]: r["rest"] - r["before"] - (r["_got"] or 0) for r in open_ones}
-    flows = {r["pattern"]: r["flow"] for r in open_ones}
-    extra: list[tuple] = []
-    for part in (False, False, False, *[True] * cut):
-        todo = [(p, g) for p, g in gaps.items() if g > (flows[p] / 500 if part else 0)]
-        if not todo:
-            continue
-        # Sizes first: few rows are of use for a gap, so few meet those that are taken already.
-        left = rows.where("size > 0 and bucket >= cut").join(F.broadcast(spark.createDataFrame(todo, "pattern string, gap long")), "pattern")
-        left = left.where("size > gap" if part else "size <= gap" if cut else "size < 2 * gap")
-        left = left.join(F.broadcast(at_cut.select("row_id")) if small else at_cut.select("row_id"), "row_id", "left_anti")
-        if extra:
-            left = left.join(F.broadcast(spark.createDataFrame([x[:1] for x in extra], "row_id long")), "row_id", "left_anti")  # a few rows per pattern
+    at_cut = rows.join(F.broadcast(plan.select("pattern", "rest", "cut", "before")), "pattern").where("bucket = cut")
+    at_cut = at_cut.withColumn("_upto", F.col("before") + F.sum("size").over(order)).where("_upto <= rest")
+    last = {r["pattern"]: r for r in at_cut.groupBy("pattern").agg(F.max(place).alias("last"), F.max("_upto").alias("upto")).collect()}
+    plan = plan.collect()
+    gaps = {r["pattern"]: r["rest"] - (last[r["pattern"]]["upto"] if r["pattern"] in last else r["before"]) for r in plan if r["cut"] is not None}
+    flows = {r["pattern"]: r["flow"] for r in plan}
+    prefix = {r["pattern"]: (r["cut"], last[r["pattern"]]["last"] if r["pattern"] in last else None) for r in plan}
+    extra: dict[str, list[int]] = {p: [] for p, g in gaps.items() if g > 0}
+    parts: dict[str, tuple[int, int]] = {}
+    if extra:
+        # One pass keeps of every size the first rows that are not taken, one for each choice; all choices are made among them.
+        choices = (False, False, False, *[True] * cut)
+        todo = spark.createDataFrame([(p, *prefix[p], gaps[p]) for p in extra], f"pattern string, cut int, last {_PLACE}, gap long")
+        left = rows.join(F.broadcast(todo), "pattern").where("size > 0 and bucket >= cut" + ("" if cut else " and size < 2 * gap"))
+        left = left.where((F.col("bucket") > F.col("cut")) | F.col("last").isNull() | (place > F.col("last")))
+        of_size = Window.partitionBy("pattern", "size").orderBy("h", "doc_id", "row_id")
+        left = left.select("pattern", "size", "h", "doc_id", "row_id", F.row_number().over(of_size).alias("_nth")).where(F.col("_nth") <= len(choices))
+        left = stored(left.drop("_nth"), "left")
         order_of = F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h", "doc_id", "row_id")
-        for r in left.groupBy("pattern").agg(F.min_by(F.struct("row_id", "size"), order_of).alias("x")).collect():
-            extra.append((r["x"]["row_id"], not part, gaps[r["pattern"]] if part else 0))
-            gaps[r["pattern"]] -= r["x"]["size"]
-    chosen = at_cut.select("row_id", "_in", F.lit(0).cast("long").alias("part")).unionByName(spark.createDataFrame(extra, "row_id long, _in boolean, part long"))
-    picked = F.coalesce(F.col("_in"), F.col("bucket") < F.col("cut"), F.lit(False)).cast("long")
-    out = rows.join(F.broadcast(chosen) if small else chosen, "row_id", "left").withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + picked)
-    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs") + F.coalesce("part", F.lit(0))).alias("taken"), "epochs", *keep)
+        for part in choices:
+            todo = [(p, gaps[p], chosen) for p, chosen in extra.items() if gaps[p] > (flows[p] / 500 if part else 0)]
+            if not todo:
+                continue
+            open_ones = left.join(F.broadcast(spark.createDataFrame(todo, "pattern string, gap long, chosen array<long>")), "pattern")
+            open_ones = open_ones.where("size > gap" if part else "size <= gap" if cut else "size < 2 * gap").where(~F.array_contains("chosen", F.col("row_id")))
+            for r in open_ones.groupBy("pattern").agg(F.min_by(F.struct("row_id", "size"), order_of).alias("x")).collect():
+                p, x = r["pattern"], r["x"]
+                if part:
+                    parts[p] = (x["row_id"], gaps[p])
+                else:
+                    extra[p].append(x["row_id"])
+                gaps[p] -= x["size"]
+        discard(left)
+    plan = [(p, r["epochs"], *prefix[p], extra.get(p, []), *parts.get(p, (None, None))) for r in plan for p in [r["pattern"]]]
+    plan = spark.createDataFrame(plan, f"pattern string, epochs long, cut int, last {_PLACE}, chosen array<long>, part_of long, part long")
+    rows = rows.join(F.broadcast(plan), "pattern", "left")
+    picked = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(place <= F.col("last"), F.lit(False))) | F.array_contains("chosen", F.col("row_id"))
+    out = rows.withColumn("epochs", F.coalesce(F.col("epochs"), F.lit(0)) + F.coalesce(picked, F.lit(False)).cast("long"))
+    in_part = F.when(F.col("row_id") == F.col("part_of"), F.col("part")).otherwise(0)
+    out = out.select("doc_id", "sources", "size", (F.col("size") * F.col("epochs") + in_part).alias("taken"), "epochs", *keep)
     return out, {s: (sizes[s], targets[s]) for s in names}
 
 
