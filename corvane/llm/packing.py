@@ -14,13 +14,13 @@ from __future__ import annotations
 import heapq
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +28,19 @@ from .common import lean, numbered, stored
 
 #: Blanks beside the space and the line feed: texts with one are encoded as a whole.
 _ODD_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-_PARTS = re.compile(r"\n+| ?[^ \n]+").findall
-
-
-def _parts(text: str) -> list[str]:
-    """The words of a text, with their space, and its line feeds: one or two in a row are words of their own, longer runs one word."""
-    if "\n\n\n" in text or "\0" in text:
-        return _PARTS(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
-# Fixed value: the word pattern of the vocabulary's byte-level pre-tokenizer. Between ASCII characters every engine reads it alike.
+# Fixed value: the word pattern of the vocabulary's byte-level pre-tokenizer. Between ASCII characters and U+00C0 to U+027F (letters
+# and two signs in every Unicode version since 5.0, so that no engine's age matters) every engine reads it alike.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Whether each byte is one that UTF-8 uses for those characters.
+_ALIKE = np.isin(np.arange(256), [*range(0xC0), *range(0xC3, 0xCA)])
+_LINE, _NONE = pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+
+
 def _ranks(spec: dict) -> dict[bytes, int] | None:
     """Token bytes -> id of a vocabulary file, if its merges in order make the tokens in the order of their ids; then merging the
     pair of the lowest id and merging by the file's list are the same. None otherwise, or with any normalizer or other step."""
@@ -78,22 +74,31 @@ def _engine(json_path: str):
     return ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _bytes_and_ends(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words one after another, and where each word's end."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+
+
 class Encoder:
     """Ids of the vocabulary file as little-endian uint32 bytes, exactly those of its tokenizer's encode(text, add_special_tokens=False).
 
     The vocabulary's word pattern always breaks between a non-space and one space before a non-space, and on both sides of
     a run of line feeds between non-spaces. A text whose blanks are such is the sequence of its words, and every distinct
-    word is encoded once and kept (`limit` words of under 40 characters; words beyond that are encoded again). Words
-    beyond ASCII go to the tokenizer, as do whole texts with other blanks or with one of the file's added strings. ASCII
-    words go to a merge engine that is given the file's own tables, after `_ranks` has proved that they say the same; where
-    they don't, the tokenizer encodes these too.
+    word is encoded once and kept (`limit` words of under 40 bytes; words beyond that are encoded again). Words of
+    characters beyond `_ALIKE` go to the tokenizer, as do whole texts with other blanks or with one of the file's added
+    strings. The other words go to a merge engine that is given the file's own tables, after `_ranks` has proved that they say
+    the same; where they don't, the tokenizer encodes these too.
+
+    The words of many texts are cut, told apart and replaced by their ids as arrays: word k of `words` is ids[at[k]:at[k+1]].
     """
 
     def __init__(self, json_path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.whole, self.limit, self.words = Tokenizer.from_file(json_path), limit, {"": b""}
+        self.whole, self.limit, self.words = Tokenizer.from_file(json_path), limit, pa.array([], pa.large_binary())
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.engine = _engine(json_path)
         added = {k: t.content for k, t in self.whole.get_added_tokens_decoder().items()}
         self.added = tuple(added.values())
@@ -102,53 +107,89 @@ class Encoder:
         for token, k in vocabulary.items():
             self.bytes_of[k] = len(token)
 
+    def _slow(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def reference(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._slow(text), "<u4").tobytes()
 
     def _by_words(self, text: str) -> bool:
         odd = "  " in text or "\n " in text or " \n" in text or text[:1] in " \n" or text[-1:].isspace() or any(c in text for c in _ODD_BLANKS)
         return not odd and not any(t in text for t in self.added)
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, encoded in long runs: words that begin with their space as they are, others between line feeds.
-        Which tokens are a word's is told by their lengths in bytes."""
-        found = {w: self.reference(w + "x")[:-4] for w in words if w[0] == "\n"}
-        slow = lambda text: self.whole.encode(text, add_special_tokens=False).ids
-        plain = {w: w.isascii() and self.engine is not None for w in words}
-        for encode, quick in ((slow, False), (self.engine and self.engine.encode_ordinary, True)):
-            mine = [w for w in words if plain[w] == quick]
-            for mark, group in (("", [w for w in mine if w[0] == " "]), ("\n", [w for w in mine if w[0] not in " \n"])):
-                for k in range(0, len(group), 4000):
-                    run = group[k : k + 4000]
-                    ids = np.array(encode(mark.join(run)), "<u4")
-                    ends = np.cumsum([(len(w) if quick else len(w.encode())) + len(mark) for w in run])
-                    starts = np.concatenate(([0], ends[:-1]))
-                    at = np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]
-                    lo, hi, raw = 4 * np.searchsorted(at, starts), 4 * np.searchsorted(at, ends - len(mark)), ids.tobytes()
-                    found.update((w, raw[a:b]) for w, a, b in zip(run, lo.tolist(), hi.tolist(), strict=True))
-        return found
+    def _add(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """Encodes words that aren't kept yet; their places. They are encoded in long runs: words that begin with their space as
+        they are, others each before a line feed. Which tokens are a word's is told by their lengths in bytes."""
+        data, ends = _bytes_and_ends(words)
+        starts = np.concatenate(([0], ends[:-1]))
+        beyond = np.concatenate(([0], np.cumsum(~_ALIKE[data])))
+        quick = (beyond[ends] == beyond[starts]) & (self.engine is not None)
+        head, place, n = data[starts], np.zeros(len(words), np.int64), len(self.at) - 1
+        ids, counts = [self.ids], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(head == 10).tolist():
+            ids.append(np.array(self._slow(words[k].as_py().decode() + "x")[:-1], "<u4"))
+            counts.append(np.array([len(ids[-1])]))
+            place[k], n = n, n + 1
+        for encode, its, spaced in [(e, q, s) for e, q in ((self.engine and self.engine.encode_ordinary, quick), (self._slow, ~quick)) for s in (True, False)]:
+            group = np.flatnonzero(its & ((head == 32) == spaced) & (head != 10))
+            place[group] = np.arange(n, n + len(group))
+            n += len(group)
+            for k in range(0, len(group), 4000):
+                run = words.take(pa.array(group[k : k + 4000]))
+                text, upto = _bytes_and_ends(run if spaced else pc.binary_join_element_wise(run, _LINE, _NONE))
+                found = np.array(encode(text.tobytes().decode()), "<u4")
+                at = np.cumsum(self.bytes_of[found]) - self.bytes_of[found]
+                of = np.searchsorted(upto, at, "right")
+                own = np.full(len(found), True) if spaced else at < upto[of] - 1
+                ids.append(found[own])
+                counts.append(np.bincount(of[own], minlength=len(run)))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(counts))))
+        return place
+
+    def _spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of kept words one after another, and where each word's end."""
+        n = self.at[which + 1] - self.at[which]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.at[which] - ends + n, n) + np.arange(n.sum())], ends
+
+    def _joined(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts, none of them empty, that are the sequences of their words."""
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        line, first = data == 10, data == 32
+        first[1:] |= line[1:] != line[:-1]
+        first[0] = True
+        first[ends[:-1]] = True
+        starts = np.flatnonzero(first).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        told = pa.concat_arrays([self.words, words]).dictionary_encode()  # numbers in the order of first places: kept words first
+        had, which, distinct = len(self.words), told.indices.to_numpy()[len(self.words) :], told.dictionary
+        new = distinct.take(pa.array(np.arange(had, len(distinct))))
+        place = np.concatenate((np.arange(had), self._add(new) if len(new) else np.zeros(0, np.int64)))
+        ids, upto = self._spread(place[which])
+        keep = pc.binary_length(distinct).to_numpy() < 40
+        if keep.sum() > self.limit:
+            used = np.zeros(len(distinct), bool)
+            used[which] = True
+            keep &= used
+        self.words = distinct.filter(pa.array(keep))
+        if len(new) or len(self.words) < had:
+            self.ids, at = self._spread(place[keep])
+            self.at = np.concatenate(([0], at))
+        raw, cuts = ids.tobytes(), [0, *(4 * upto[np.searchsorted(starts, ends) - 1]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [_parts(text) if text and self._by_words(text) else None for text in texts]
-        need: set[str] = set()
-        need.update(*(words for words in split if words))
-        need.discard("")
-        new = [w for w in need if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words = {"": b""} | {w: self.words[w] for w in need if w in self.words}
-        self.words.update(self._words(new))
-        out = [b"".join(map(self.words.__getitem__, words)) if words else self.reference(text) if text else b"" for words, text in zip(split, texts, strict=True)]
-        for w in new:
-            if len(w) >= 40:
-                del self.words[w]
-        return out
+        split = [bool(text) and self._by_words(text) for text in texts]
+        found = iter(self._joined([text.encode() for text, s in zip(texts, split, strict=True) if s]) if any(split) else ())
+        return [next(found) if s else self.reference(text) if text else b"" for s, text in zip(split, texts, strict=True)]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of runs of at most 256 rows."""
+    """Ids and texts of runs of at most 1024 rows."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
             yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 

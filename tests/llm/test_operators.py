@@ -521,6 +521,61 @@ def test_merge_engine_is_the_tokenizer_on_every_token():
     assert packing._ranks({"model": {"type": "WordPiece"}}) is None
 
 
+def test_words_of_latin_letters_go_to_the_merge_engine():
+    """Before, the slower tokenizer encoded every word with a character beyond ASCII."""
+    P = pytest.importorskip("public_tokenizers")
+    e = packing.Encoder(P.path("byte_bpe_50k.json"))
+    texts = ["Ñandú señor été, l'été ÿ\nǅ ɏɐ×÷ École", "señor ẞ", "x 𝔘 señor"]
+    want = [e.reference(t) for t in texts]
+
+    class Counted:
+        whole, seen = e.whole, []
+
+        def encode(self, text, **more):
+            self.seen.append(text)
+            return self.whole.encode(text, **more)
+
+    e.whole = Counted()
+    assert e.batch(texts[:1]) == want[:1] and "".join(e.whole.seen).replace("x", "").strip() == ""
+    e.whole.seen.clear()
+    assert e.batch(texts) == want and sorted("".join(e.whole.seen).split()) == ["ẞ", "𝔘"]
+
+
+def test_engines_read_the_latin_letters_alike():
+    """Letter, number, other sign or space: told by whether the character stays with an `a`, a `1` or a `.` on both its sides."""
+    P = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    before = packing.Encoder(P.path("byte_bpe_50k.json")).whole.pre_tokenizer
+    ranks = {bytes([b]): b for b in range(256)}
+    for c in [*range(33, 127), *range(0xC0, 0x280)]:
+        for side in "a1.":
+            raw = (side + chr(c) + side).encode()
+            for k in range(2, len(raw) + 1):
+                ranks.setdefault(raw[:k], len(ranks))
+    engine = tiktoken.Encoding("sides", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for c in [*range(33, 127), *range(0xC0, 0x280)]:
+        assert len(chr(c).encode().translate(None, bytes(np.flatnonzero(packing._ALIKE).tolist()))) == 0
+        for side in "a1.":
+            s = side + chr(c) + side
+            assert (len(engine.encode_ordinary(s)) == 1) == (len(before.pre_tokenize_str(s)) == 1), (c, side)
+
+
+def test_encoder_agrees_on_random_texts_whatever_it_keeps():
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(5)
+    letters = ["a", "e", "th", "ing", "'s", "1", ".", "é", "ñ", "×", "ɏ", "ß", "ẞ", "中", "𝔘", "\0", "\u0301", "_", " ", " ", " ", "\n", "\n\n", "\n\n\n", "x" * 45, "é" * 21]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)]
+    plain = [t.strip() or "x" for t in texts]
+    small, large = packing.Encoder(P.path("byte_bpe_50k.json"), limit=50), packing.Encoder(P.path("byte_bpe_50k.json"))
+    for some in (texts, plain):
+        for k in range(0, len(some), 100):
+            want = [large.reference(t) for t in some[k : k + 100]]
+            assert small.batch(some[k : k + 100]) == want and large.batch(some[k : k + 100]) == want
+    assert sum(map(large._by_words, plain)) > 300 and max(map(len, large.words.to_pylist())) < 40
+    assert len(small.words) == len(small.at) - 1 < len(large.words) == len(large.at) - 1 and small.at[-1] == len(small.ids)
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(2)
     for k in (2, 5, 17):
